@@ -6,7 +6,10 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +78,55 @@ def single_thread() -> None:
     """One native thread for each Python worker: the executor's cores are shared out by Spark."""
     os.environ.setdefault("RAYON_NUM_THREADS", "1")
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
+def segment_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` segments unsigned 64-bit hashes belong to; their low 32 bits stay free to tell them apart inside it."""
+    return ((hashes >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
+
+
+def split_sorted(segments: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
+    """The segments of a sorted array, and where each stands in it."""
+    edges = np.searchsorted(segments, np.arange(n + 1))
+    return ((int(s), slice(edges[s], edges[s + 1])) for s in np.flatnonzero(np.diff(edges)))
+
+
+class WordTable:
+    """Numbers for byte words, with values that ``learn(words)`` gives as an array; forgets all beyond ``most`` words."""
+
+    def __init__(self, learn, most: int = 500_000):
+        self.learn, self.most = learn, most
+        self.reset()
+
+    def reset(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.values = np.asarray(self.learn([]))
+
+    def numbers(self, found: list[bytes]) -> np.ndarray:
+        """Numbers of the words, good until the next call; ``values`` of them is an array by number."""
+        get = self.at.get
+        places = [get(w, -1) for w in found]
+        if -1 in places:
+            if len(self.at) > self.most:
+                self.reset()
+            new = [w for w in dict.fromkeys(found) if w not in self.at]
+            for w in new:
+                self.at[w] = len(self.at)
+            if len(self.at) > len(self.values):
+                self.values = np.concatenate([self.values, np.zeros((max(len(self.at), len(self.values)), *self.values.shape[1:]), self.values.dtype)])
+            self.values[len(self.at) - len(new) : len(self.at)] = self.learn(new)
+            places = [self.at[w] for w in found]
+        return np.array(places, np.int64)
+
+    def of(self, found: list[bytes]) -> np.ndarray:
+        numbers = self.numbers(found)  # first: it may put another array in place of values
+        return self.values[numbers]
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64)
+
+
+def lower_words(text: str | None) -> list[bytes]:
+    """Words between the separators, A-Z lower-cased: bytes methods touch ASCII only."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()

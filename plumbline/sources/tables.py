@@ -81,3 +81,12 @@ CODE_LINES_SQL = """code_lines AS (
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of whole documents, numbered from 0."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share: under ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    import tempfile
+    import uuid
+
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{found.rstrip('/')}/plumbline/{uuid.uuid4().hex}" if found else f"file://{tempfile.mkdtemp(prefix='plumbline-')}"

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Token places that a mask reads, out of WIDTH consecutive ones.
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 5, 6), (0, 1, 3, 5, 7))
+MASKS = ((0, 1, 2, 5, 6), (0, 1, 3, 5, 7))
 WIDTH, SPAN, AGREE = 8, 20, 0.8
 
 
@@ -82,10 +82,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_tokens of the item, n_agree: the most tokens that agree in its best window, and the window's length."""
     known = common.materialise(item_seeds(benchmark), "item-seeds")
     words = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", tokens(F.col("text")).alias("doc_words"))
-    placed = _placed(words, "doc_id", "doc_words", "doc")
-    side = common.maybe_broadcast(known.select("item_id", "item_words", "item_place", "item_mask", F.col("hash").alias("item_hash")))
-    # the mask's number is part of the hash: one long key keeps the broadcast table a plain map of longs
-    hits = placed.join(side, F.col("hash") == F.col("item_hash")).filter(~_continues())
+    placed = _placed(words, "doc_id", "doc_words", "doc").select("doc_id", "doc_words", "doc_place", "hash")
+    # the mask's number is part of the hash: one long key, and no tokens, keep the table that every position asks small
+    side = common.maybe_broadcast(known.select(F.col("item_id").alias("seed_item"), "item_place", "item_mask", F.col("hash").alias("item_hash")))
+    items = common.maybe_broadcast(known.select("item_id", "item_words").distinct())
+    hits = placed.join(side, F.col("hash") == F.col("item_hash")).join(items, F.col("seed_item") == F.col("item_id")).filter(~_continues())
     span = F.least(F.size("item_words"), F.lit(SPAN))
     agree = best_window(matched(F.col("doc_words"), F.col("item_words"), F.col("doc_place") - F.col("item_place")), span)
     found = hits.select("doc_id", "item_id", F.size("item_words").cast("long").alias("n_tokens"), span.cast("long").alias("n_window"), agree.cast("long").alias("n_agree"))

@@ -32,7 +32,7 @@ from . import common
 
 DIVISOR, HELD = 5, 1
 BASE, BITS, PROBES, MOST_FILTER = 1.5, 14, 3, 256 << 20
-HEAD, FLUSH = 1 << 18, 6_000_000
+HEAD, FLUSH, TOGETHER = 1 << 18, 6_000_000, 200_000
 END = b"\n"  # no word holds a separator
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -172,7 +172,7 @@ def _scored(n: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         filter_ = Filter(m["filter"], m["first"])
-        table, end = common.WordTable(common.word_hashes), common.word_hashes([END])
+        end = common.word_hashes([END])
         part, place = TaskContext.get().partitionId(), 0
         escape, tokens, types = m["escape"], m["tokens"], m["types"]
         names = [x.split()[0] for x in ROWS_SQL.split(", ")]
@@ -188,24 +188,48 @@ def _scored(n: int, shared):
             cols = [pa.array([part] * k, pa.int32()), *[pa.nulls(k, t) for t in kinds[1:8]], pa.array([s for s, _ in found], pa.int32()), *[pa.array([x[w].tobytes() for _, w in found], pa.binary()) for x in (h, at)]]
             return pa.RecordBatch.from_arrays(cols, names=names)
 
+        def learnt(words: list[bytes]) -> np.ndarray:
+            """Of each word: its hash, its level as a count, and its share of the base score if it is frequent, else not a number."""
+            h = common.word_hashes(words)
+            at = np.searchsorted(m["head"], h)
+            at[at == len(m["head"])] = 0
+            base = np.full(len(h), np.nan)
+            if len(m["head"]):
+                base = np.where(m["head"][at] == h, _base(m["head_counts"][at], tokens, types), np.nan)
+            return np.stack([h, filter_.levels(h, 1).astype(np.uint64), base.view(np.uint64)], axis=1)
+
+        table = common.WordTable(learnt, 300_000)
+
+        def scored(texts: list[list[bytes]], place: int) -> list[tuple]:
+            """Texts, each ended by the end token, scored as one sequence: the token before a text is the end of the one before."""
+            starts = np.cumsum([0, *[len(x) for x in texts[:-1]]])
+            h, level, base = table.of([w for x in texts for w in x]).T
+            word, base = decoded(level.astype(np.int64)), base.copy().view(np.float64)
+            first = (word + 0.5) / (tokens + 0.5 * (types + 1))
+            before = np.r_[word[-1:], word[:-1]]  # the last token is an end
+            pair = decoded(filter_.levels(bigrams(h, end[0]), 2))
+            p = ((1 - escape) * np.minimum(pair, before) + (1 + escape * before) * first) / (1 + before)
+            rare = np.isnan(base)
+            if rare.any():
+                wanted.append((h[rare], (place + np.repeat(np.arange(len(texts)), [len(x) for x in texts]))[rare]))
+            sums = [np.add.reduceat(x, starts) for x in ((~rare).astype(np.int64), np.where(rare, 0.0, base), np.log10(p))]
+            return [(len(x), *row) for x, *row in zip(texts, *[s.tolist() for s in sums], strict=True)]
+
         kinds: list[pa.DataType] = []
         for b in batches:
             kinds = [pa.int32(), pa.int32(), b.column("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             out: list[tuple] = []
+            held: list[list[bytes]] = []
+            n_held = 0
             for text in b.column("text"):
-                h = np.r_[table.of(common.lower_words(text.as_py())), end]
-                word = decoded(filter_.levels(h, 1))
-                first = (word + 0.5) / (tokens + 0.5 * (types + 1))
-                before = np.r_[m["end"], word[:-1]]
-                pair = decoded(filter_.levels(bigrams(h, end[0]), 2))
-                p = ((1 - escape) * np.minimum(pair, before) + (1 + escape * before) * first) / (1 + before)
-                at = np.searchsorted(m["head"], h)
-                at[at == len(m["head"])] = 0
-                known = m["head"][at] == h if len(m["head"]) else np.zeros(len(h), bool)
-                if not known.all():
-                    wanted.append((h[~known], np.full(int((~known).sum()), place + len(out))))
-                    size += len(wanted[-1][0])
-                out.append((len(h), int(known.sum()), float(_base(m["head_counts"][at[known]], tokens, types).sum()), float(np.log10(p).sum())))
+                held.append([*common.lower_words(text.as_py()), END])
+                n_held += len(held[-1])
+                if n_held >= TOGETHER:
+                    out += scored(held, place + len(out))
+                    held, n_held = [], 0
+            if held:
+                out += scored(held, place + len(out))
+            size = sum(len(x[0]) for x in wanted)
             k = len(out)
             cols = list(zip(*out, strict=True)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays(
@@ -279,8 +303,6 @@ def score(docs: DataFrame) -> DataFrame:
     top = np.argsort(-counts, kind="stable")[:HEAD]
     top = top[np.argsort(head[top])]
     model = totals | {"filter": np.concatenate(filters), "first": np.r_[0, np.cumsum(sizes)], "head": head[top], "head_counts": counts[top], "escape": totals["pair_types"] / max(1, totals["pair_tokens"])}
-    own = model["head_counts"][model["head"] == common.word_hashes([END])[0]]
-    model["end"] = float(own[0]) if len(own) else 0.0
     del filters
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()

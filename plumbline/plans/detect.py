@@ -109,7 +109,7 @@ def detect(nodes: DataFrame, limits: Limits | None = None) -> DataFrame:
     out.append(_finding(cached.filter(F.col("size") > capacity), "CacheMemorySpillRisk"))
     out.append(_finding(cached.filter((F.col("size") <= capacity) & ((F.col("size") > 0.7 * capacity) | (F.col("size") > at.large_cache))), "LargeCache"))
     out.append(_finding(cached.filter((F.col("size") <= 0.7 * capacity) & (F.col("size") > at.large_frame) & (F.col("size") <= at.large_cache)), "LargeDfPersisted"))
-    out.append(_finding(n.filter(scan & detail.rlike(r"(?i)\b(?:scan (?:csv|text)\b|Format: (?:CSV|Text)\b)|\.csv\b")), "CsvRead", table=F.col("table")))
+    out.append(_finding(n.filter(scan & detail.rlike(r"(?i)scan (?:csv|text)\b|Format: (?:CSV|Text)\b|\.csv\b")), "CsvRead", table=F.col("table")))
     out.append(_finding(n.filter(op.contains("Aggregate") & detail.rlike(r"\bfirst\(")), "FirstWithoutOrdering"))
     out.append(_finding(_once(n.filter(op == "SortAggregate")), "SortAggregate"))
     unbounded = (op == "Window") & detail.rlike(r"windowspecdefinition\((?:\w+#\d+L? (?:ASC|DESC)|specifiedwindowframe)")

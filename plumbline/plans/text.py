@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .walk import WRAPPERS, label, short
 
-MARKER = re.compile(r"^((?:[ :|]|│)*)([+:]- )?(?:\*?\s*\(\d+\)\s*)?(?:\*\s*)?(\S.*)$")
+MARKER = re.compile(r"^((?:[ |│]|:(?!- ))*)([+:]- )?(?:\*?\s*\(\d+\)\s*)?(?:\*\s*)?(\S.*)$")
 
 
 def sections(text: str) -> list[str]:

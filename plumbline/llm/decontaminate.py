@@ -97,4 +97,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents into which nothing leaks, with all their columns."""
     gone = common.materialise(leaks(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct(), "leaked")
-    return docs.join(common.maybe_broadcast(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+    gone = common.maybe_broadcast(gone)
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -8,7 +8,7 @@ equal chunk *bytes*, so two different chunks with one hash both stay.
 
 Edge cases: a null text has no chunks and stays null; null ids are never removed from and never count as a first place;
 chunks repeated inside one document count too; rows that repeat an id count as that id's further places, row by row;
-an empty table gives an empty result. Extra columns are carried through; internal ones are prefixed ``__``.
+an empty table gives an empty result. Extra columns are carried through inside a struct, so their names clash with none.
 """
 
 from __future__ import annotations
@@ -67,8 +67,7 @@ def _eligible(chunk: Column) -> Column:
 
 def chunked(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__chunks`` and a row key ``__row``, written to shared storage (texts once, as their chunks)."""
-    fields = [f for f in docs.schema.fields if f.name != "text"]
-    kept = docs.select(*[F.col(f.name) for f in fields], F.expr("uuid()").alias(ROW), F.col("text").isNull().alias("__null"), F.col("text").alias("__text"))
+    kept = docs.select(common.carried(docs, ("text",)).alias("__carry"), "doc_id", F.expr("uuid()").alias(ROW), F.col("text").isNull().alias("__null"), F.col("text").alias("__text"))
     schema = kept.schema
     from pyspark.sql import types as T
 
@@ -95,25 +94,26 @@ def repeats(parts: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks cut from ``text`` (and ``n_chars`` set anew if there), plus ``__n_removed`` chunks."""
+    """``__doc``: the row with repeated chunks cut from ``text`` (and ``n_chars`` set anew if there); ``__n_chunks``, ``__n_removed``."""
     parts = chunked(docs)
     gone = repeats(parts).groupBy(ROW).agg(F.collect_set("__place").alias("__gone"))
     both = parts.join(gone, ROW, "left")
     gone_ = F.coalesce(F.col("__gone"), F.array().cast("array<int>"))
     left = F.filter(F.col("__chunks"), lambda x, i: ~F.array_contains(gone_, i))
     text = F.when(~F.col("__null"), F.when(F.col("__gone").isNull(), F.array_join("__chunks", "\n")).otherwise(F.array_join(left, "\n")))
-    out = both.withColumn("text", text).withColumn("__n_removed", F.size(gone_).cast("long"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__null"), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(*docs.columns, F.size("__chunks").cast("long").alias("__n_chunks"), "__n_removed")
+    out = both.select("__carry", "__null", text.alias("__left"), F.size("__chunks").cast("long").alias("__n_chunks"), F.size(gone_).cast("long").alias("__n_removed"))
+    own = {"text": F.col("__left"), "n_chars": F.when(F.col("__null"), F.col("__carry.n_chars")).otherwise(F.char_length("__left").cast("long")) if "n_chars" in docs.columns else None}
+    columns = [own[c] if own.get(c) is not None else F.col(f"__carry.`{c}`") for c in docs.columns]
+    return out.select(F.struct(*[c.alias(n) for c, n in zip(columns, docs.columns, strict=True)]).alias("__doc"), "__n_chunks", "__n_removed")
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_chunks, n_removed, n_chars of what is left, text left."""
     out = deduplicate(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.col("__n_chunks").alias("n_chunks"), F.col("__n_removed").alias("n_removed"), F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_left"), "text")
+    left = F.char_length(F.coalesce("__doc.text", F.lit(""))).cast("long").alias("n_left")
+    return out.select("__doc.doc_id", F.col("__n_chunks").alias("n_chunks"), F.col("__n_removed").alias("n_removed"), left, "__doc.text")
 
 
 def cut(docs: DataFrame) -> DataFrame:
     """The pipeline's form: the columns of ``docs`` only."""
-    return deduplicate(docs).select(*docs.columns)
+    return deduplicate(docs).select("__doc.*")

@@ -8,7 +8,7 @@ larger), which are joined back and applied.
 
 Edge cases: a null text counts as empty (0 words, so it fails the base rule); null language or source forms a cell of its own;
 repeated rows and repeated ids are judged row by row; an empty table gives an empty result. Extra columns are carried, and
-internal columns are prefixed ``__`` so that they clash with none.
+internal columns are prefixed ``__`` and extra ones travel inside a struct, so that they clash with none.
 """
 
 from __future__ import annotations
@@ -66,19 +66,19 @@ def _without(text: Column, letters: str) -> Column:
 
 
 def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """One row per document: the ``carry`` columns, the base counts ``__n_words`` and so on, and the measures."""
+    """One row per document: the ``carry`` columns as struct ``__carry``, the base counts ``__n_words`` and so on, and the measures."""
     text = F.coalesce(F.col("text"), F.lit(""))
     worded = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     known = docs.columns
     step = docs.select(
-        *[F.col(c) for c in carry],
+        common.carried(docs.select(*[F.col(f"`{c}`") for c in carry])).alias("__carry"),
         (F.col("lang") if "lang" in known else F.lit(None).cast("string")).alias("__lang"),
         (F.col("source") if "source" in known else F.lit(None).cast("string")).alias("__source"),
         text.alias("__text"),
         common.words(F.col("text")).alias("__words"),
         worded.alias("__lines"),
     ).select(
-        *carry, "__lang", "__source",
+        "__carry", "__lang", "__source",
         F.size("__words").cast("long").alias("__n_words"),
         _without(F.col("__text"), " \t\n\x0b\x0c\r").cast("long").alias("__word_chars"),
         (F.char_length("__text") - _without(F.col("__text"), "#*$%&|<>")).cast("long").alias("__n_symbols"),
@@ -158,10 +158,10 @@ def score(docs: DataFrame) -> DataFrame:
     """Contract rows: doc_id, the counts, base_failed, kept."""
     rows = common.materialise(measured(docs, ["doc_id"]), "quality")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return judged(rows).select("doc_id", *[F.col(f"__{n}").alias(n) for n in names])
+    return judged(rows).select("__carry.doc_id", *[F.col(f"__{n}").alias(n) for n in names])
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns. Texts are written once with their measures and not shuffled."""
     rows = common.materialise(measured(docs, docs.columns), "quality")
-    return judged(rows).filter("__kept").select(*docs.columns)
+    return judged(rows).filter("__kept").select("__carry.*")

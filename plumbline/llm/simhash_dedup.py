@@ -133,4 +133,4 @@ def score(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The documents that are their group's smallest id; rows without an id stay. Rows that repeat a kept id all stay."""
     gone = classes(docs, shingle).filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -9,6 +9,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +71,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+", -1), "")
 
 
+def carried(df: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """The columns of ``df``, without some, as one struct: their names then clash with no name of an operator's own."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns if c not in but])
+
+
 def crc_mod(doc_id: Column, divisor: int) -> Column:
     """``crc32(doc_id as text) mod divisor``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor
@@ -130,3 +137,35 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 def lower_words(text: str | None) -> list[bytes]:
     """Words between the separators, A-Z lower-cased: bytes methods touch ASCII only."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def distinct_words(texts: pa.Array, lower: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of some texts (null: empty), the number of each word in turn, and how many words each text has.
+
+    Arrow splits on the same six characters as the contract, and lower-cases A-Z alone.
+    """
+    texts = texts.fill_null("")
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    coded = parts.flatten().dictionary_encode()
+    found = coded.dictionary.cast(pa.binary()).to_pylist()
+    numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
+    if b"" in found:  # next to white space at either end of a text
+        blank = found.index(b"")
+        there = numbers != blank
+        offsets = np.r_[0, np.cumsum(there)][offsets]
+        numbers = numbers[there]
+        found[blank] = found[-1]
+        numbers[numbers == len(found) - 1] = blank
+        found.pop()
+    return found, numbers, np.diff(offsets)
+
+
+def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of about ``size`` bytes together, and where each starts."""
+    sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    k = 0
+    while k < len(texts):
+        upto = max(k + 1, int(np.searchsorted(sizes, (sizes[k - 1] if k else 0) + size, side="right")))
+        yield k, texts.slice(k, upto - k)
+        k = upto

@@ -340,7 +340,7 @@ def schema_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lines = code_lines(spark, sf_dir)
     bound = lines.filter("line % 3 = 0").select("file", "line", F.length("text").alias("width"))
-    return asof(lines.filter("line % 2 = 1").select("file", "line"), bound, ["file"], "line", "line", "width")
+    return asof(lines.filter("line % 2 = 1").select("file", "line"), bound, ["file"], "line", "line", "width", lambda n: F.floor(n / 256))
 
 
 DESTINATION = r"\.(?:saveAsTable|insertInto|parquet|json|csv|orc|text|delta|avro|save|start|toTable)\s*\(\s*(?:path\s*=\s*)?[\"']([^\"']+)[\"']"

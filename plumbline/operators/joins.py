@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
@@ -103,18 +103,27 @@ for _how in ("semi", "anti"):
     query(f"join_{_how}", f"SELECT c_custkey, c_acctbal FROM {_SIDES.format(_how.upper())}")(_outer(_how))
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, value: str) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, value: str, bucket=None) -> DataFrame:
     """Each left row with ``value`` of the latest right row at or before it: one sorted pass over the union of both sides.
 
-    Rows are dealt by ``by`` alone; where a key may be hot, add a coarse time bucket to both sides first.
+    ``bucket`` gives a coarse, increasing number of a place in time; rows are then dealt by key and bucket, so a key that holds a
+    third of all rows is spread over its buckets, and what a bucket starts with comes from one row a key and earlier bucket.
     """
-    from pyspark.sql import Window
-
+    bucket = bucket or (lambda c: F.lit(0))
     cols = left.columns
     a = left.select("*", F.col(left_on).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[value].dataType).alias("__value"))
     b = right.select(*[F.col(c) if c in by else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], F.col(right_on).alias("__at"), F.lit(0).alias("__side"), F.col(value).alias("__value"))
-    w = Window.partitionBy(*by).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn(value, F.last("__value", ignorenulls=True).over(w)).filter("__side = 1").select(*cols, value)
+    w = Window.partitionBy(*by, "__bucket").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b).withColumn("__bucket", bucket(F.col("__at"))).withColumn("__own", F.last("__value", ignorenulls=True).over(w)).filter("__side = 1")
+    ends = right.filter(F.col(value).isNotNull()).groupBy(*[F.col(c).alias(f"__{c}") for c in by], bucket(F.col(right_on)).alias("__b")).agg(F.max_by(value, right_on).alias("__end"))
+    # one row a key and bucket: what the buckets before it end with
+    marks = both.filter("__own IS NULL").select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__bucket").alias("__b")).distinct()
+    earlier = Window.partitionBy(*[f"__{c}" for c in by]).orderBy(F.col("__b").cast("long")).rangeBetween(Window.unboundedPreceding, -1)
+    ends = marks.withColumn("__end", F.lit(None).cast(right.schema[value].dataType)).withColumn("__asks", F.lit(True)).unionByName(ends.withColumn("__asks", F.lit(False)))
+    start = ends.withColumn("__start", F.last("__end", ignorenulls=True).over(earlier)).filter("__asks")
+    start = start.select(*[F.col(f"__{c}").alias(f"__s_{c}") for c in by], F.col("__b").alias("__s_bucket"), F.col("__start").alias("__end"))
+    joined = both.join(start, [*[F.col(c) == F.col(f"__s_{c}") for c in by], F.col("__bucket") == F.col("__s_bucket"), F.col("__own").isNull()], "left")
+    return joined.select(*cols, F.coalesce("__own", "__end").alias(value))
 
 
 @query(
@@ -127,4 +136,4 @@ def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     clicks = e.filter("event_type = 'click'").select("event_id", "user_id", "ts")
     bought = e.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("last_purchase"))
-    return asof(clicks, bought, ["user_id"], "ts", "ts", "last_purchase").select("event_id", "user_id", "last_purchase")
+    return asof(clicks, bought, ["user_id"], "ts", "ts", "last_purchase", lambda t: F.datediff(t, F.lit("1970-01-01"))).select("event_id", "user_id", "last_purchase")

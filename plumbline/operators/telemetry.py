@@ -154,7 +154,7 @@ FROM (SELECT user_key, CAST(first_seen AS DATE) AS cohort FROM firsts) AS f LEFT
 def d1_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each day's new users who are back the next day. First day and next-day visit come from one grouping by user."""
     days = telemetry(spark, sf_dir).select("user_key", "day").distinct()
-    per = days.groupBy("user_key").agg(F.min("day").alias("cohort"), F.min_by("day", F.col("day")).alias("_"), F.collect_set("day").alias("days"))  # days of one user: bounded by the calendar
+    per = days.groupBy("user_key").agg(F.min("day").alias("cohort"), F.collect_set("day").alias("days"))  # days of one user: bounded by the calendar
     back = per.select("cohort", F.array_contains("days", F.date_add("cohort", 1)).alias("back"))
     out = back.groupBy("cohort").agg(F.count("*").alias("users"), F.count_if("back").alias("returned"))
     return out.withColumn("percent", F.round(F.lit(100.0) * F.col("returned") / F.col("users"), 1))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources.tables import table
+from ..sources.tables import shared_folder, table
 
 BY_DATE = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
 
@@ -27,9 +27,16 @@ def win_row_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Row numbers over the whole table without one partition holding it: rows are range partitioned and numbered in place, and the
-    sizes of earlier ranges (one row a range) are added. ``order`` has to be unique."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes of earlier ranges (one row a range) are added. ``order`` has to be unique.
+
+    The ranges are written to shared storage once: range bounds are sampled, and a second evaluation may draw others.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id())
+    folder = shared_folder(spark)
+    ranged.write.parquet(folder)
+    ranged = spark.read.schema(ranged.schema).parquet(folder)
     sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
     before = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))  # a row a range
     own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))

@@ -79,12 +79,13 @@ def test_fan_out_keeps_errors_apart(spark, sf_dir):
     assert isinstance(out["no_such_report"], KeyError) and len(out["dau"]) == 1
 
 
+@pytest.mark.parametrize("bucket", [None, lambda t: F.floor(t / 7)])
 @pytest.mark.parametrize("seed", range(3))
-def test_asof_against_brute_force(spark, seed):
+def test_asof_against_brute_force(spark, seed, bucket):
     rng = random.Random(seed)
     left = [(i, rng.randrange(4), rng.randrange(50)) for i in range(60)]
     right = [(k, t, k * 1000 + t) for k in range(4) for t in rng.sample(range(50), 12)]
-    out = asof(spark.createDataFrame(left, "id int, k int, t int"), spark.createDataFrame(right, "k int, rt int, v int"), ["k"], "t", "rt", "v")
+    out = asof(spark.createDataFrame(left, "id int, k int, t int"), spark.createDataFrame(right, "k int, rt int, v int"), ["k"], "t", "rt", "v", bucket)
     want = {i: max(((rt, v) for rk, rt, v in right if rk == k and rt <= t), default=(0, None))[1] for i, k, t in left}
     assert {r["id"]: r["v"] for r in out.collect()} == want
 

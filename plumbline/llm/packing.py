@@ -26,9 +26,12 @@ from . import common
 
 SIZE, END_ID = 2048, 0
 #: Multiplicative weights: share of a length's count that a step covers, price decay, and the most steps.
-STEP, DECAY, STEPS = 0.2, 6.0, 1500
+STEP, DECAY, STEPS = 0.2, 6.0, 500
 #: Words kept with their ids by each Python worker, the longest kept, and pieces that share a ranking bucket.
-KEPT_WORDS, KEPT_BYTES, PER_BUCKET = 300_000, 40, 1_000_000
+KEPT_WORDS, KEPT_BYTES, PER_BUCKET = 1_500_000, 40, 1_000_000
+#: Bytes of text tokenized together, and the character that parts new words.
+TOGETHER, MARK = 6 << 20, "`"
+SPACED_MARK = f" {MARK} ".encode()
 
 
 def tokenizer_path() -> str:
@@ -38,66 +41,110 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Ids of whole texts. White space ends every match of the tokenizer's own splitting, so words are looked up one by one."""
+    """Ids of whole texts. White space ends every match of the tokenizer's own splitting, so words are looked up one by one.
+
+    New words go through the tokenizer together, parted by ``MARK``, whose id no word without it gives; words that hold it, or a special
+    token, and very long ones go through alone. One encoder a Python worker lives on from task to task.
+    """
+
+    kept: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
         common.single_thread()
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
+        self.mark = np.array(self._direct(MARK))
         self._reset()
 
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        if path not in cls.kept:
+            cls.kept[path] = cls(path)
+        return cls.kept[path]
+
     def _reset(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        """No words kept. A word is known by 64 bits of hash, in order; it takes about twenty bytes with its ids."""
+        self.hashes = np.zeros(0, np.uint64)
+        self.start, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, np.uint16 if self.own.get_vocab_size() <= 1 << 16 else np.uint32), 0
+
+    def _direct(self, text: str) -> list[int]:
+        return self.own.encode(text, add_special_tokens=False).ids
 
     def _learn(self, new: list[bytes]) -> None:
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for word, found in zip(part, self.own.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                ids, n = found.ids, len(self.at)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                if n >= len(self.start):
-                    self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.start[n], self.count[n] = self.used, len(ids)
-                self.used += len(ids)
-                self.at[word] = n
+        joined = b" ".join(new)
+        if MARK.encode() in joined or b"<|" in joined or max(map(len, new), default=0) > KEPT_BYTES:
+            odd = {w for w in new if len(w) > KEPT_BYTES or MARK.encode() in w or b"<|" in w}
+            new = [w for w in new if w not in odd]
+            for w in odd:
+                ids = self._direct(w.decode())
+                self._keep([w], np.array(ids, np.int64), np.array([len(ids)]))
+        for k in range(0, len(new), 51_200):
+            part = new[k : k + 51_200]
+            texts = [(SPACED_MARK.join(part[j : j + 128]) + SPACED_MARK).decode() for j in range(0, len(part), 128)]
+            ids = np.concatenate([np.array(e.ids, np.int64) for e in self.own.encode_batch_fast(texts, add_special_tokens=False)])
+            hits, wide = np.ones(len(ids) - len(self.mark) + 1, bool), len(self.mark)
+            for j, m in enumerate(self.mark):
+                hits &= ids[j : len(ids) - wide + 1 + j] == m
+            marks = np.flatnonzero(hits)
+            counts = marks - np.r_[0, marks[:-1] + wide]
+            self._keep(part, np.delete(ids, (marks[:, None] + np.arange(wide)).ravel()), counts)
+
+    def _keep(self, part: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        h = common.word_hashes(part)
+        order = np.argsort(h)
+        at = np.searchsorted(self.hashes, h[order])
+        starts = self.used + np.cumsum(counts) - counts
+        self.hashes, self.start, self.count = (np.insert(x, at, y[order]) for x, y in ((self.hashes, h), (self.start, starts), (self.count, counts)))
+        self.used += len(ids)
+
+    def _places(self, h: np.ndarray) -> np.ndarray:
+        """Where words are kept, -1 for those that are not."""
+        at = np.searchsorted(self.hashes, h)
+        at[at == len(self.hashes)] = 0
+        return np.where(self.hashes[at] == h, at, -1) if len(self.hashes) else np.full(len(h), -1)
+
+    def many(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text and the end id."""
+        words, numbers, sizes = common.distinct_words(texts, lower=False)
+        h = common.word_hashes(words)
+        missing = np.flatnonzero(self._places(h) < 0)
+        if len(missing) and len(self.hashes) + len(missing) > KEPT_WORDS:
+            self._reset()
+            missing = np.arange(len(words))
+        self._learn([words[k] for k in missing])
+        where = self._places(h)[numbers]
+        del words
+        count = self.count[where].astype(np.int64)
+        ends = np.r_[0, np.cumsum(count)]
+        flat = self.flat[np.repeat(self.start[where] - ends[:-1], count) + np.arange(int(ends[-1]))]
+        bounds = ends[np.r_[0, np.cumsum(sizes)]].tolist()
+        out = []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            own = np.full(b - a + 1, END_ID, "<u4")
+            own[:-1] = flat[a:b]
+            out.append(own)
+        return out
 
     def ids(self, text: str | None) -> np.ndarray:
-        """The text's ids and the end id."""
-        found = (text or "").encode().split()
-        if max(map(len, found), default=0) > KEPT_BYTES:
-            ids = self.own.encode(text, add_special_tokens=False).ids
-            return np.array([*ids, END_ID], np.uint32)
-        get = self.at.get
-        places = [get(w, -1) for w in found]
-        if -1 in places:
-            if len(self.at) > KEPT_WORDS:
-                self._reset()
-            self._learn([w for w in dict.fromkeys(found) if w not in self.at])
-            places = [self.at[w] for w in found]
-        where = np.array(places, np.int64)
-        count = self.count[where]
-        total = int(count.sum())
-        out = np.full(total + 1, END_ID, np.uint32)
-        out[:total] = self.flat[np.repeat(self.start[where] - (np.cumsum(count) - count), count) + np.arange(total)]
-        return out
+        return self.many(pa.array([text], pa.string()))[0]
 
 
 def _pieces(path: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder.of(path)
         for b in batches:
             rows: list[tuple] = []
-            for k, text in enumerate(b.column("text")):
-                ids = encoder.ids(text.as_py()).astype("<u4")
-                rows += [(k, i, a, min(size, len(ids) - a), zlib.crc32(ids[a : a + size].tobytes())) for i, a in enumerate(range(0, len(ids), size))]
-            k, i, a, n, crc = zip(*rows, strict=True) if rows else [()] * 5
+            for k, texts in common.slices(b.column("text"), TOGETHER):
+                for row, ids in enumerate(encoder.many(texts), k):
+                    rows += [(row, i, a, min(size, len(ids) - a), zlib.crc32(ids[a : a + size].data)) for i, a in enumerate(range(0, len(ids), size))]
+            row, i, a, n, crc = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(k, pa.int64())), pa.array(i, pa.int32()), *[pa.array(x, pa.int64()) for x in (a, n, crc)]],
+                [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(i, pa.int32()), *[pa.array(x, pa.int64()) for x in (a, n, crc)]],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, html_extract, language_id, line_dedup, lm_scoring, packing, quality_rules, simhash_dedup, substring_dedup, toxicity
+from . import common, decontaminate, html_extract, language_id, line_dedup, lm_scoring, oracles, packing, quality_rules, simhash_dedup, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,4 +38,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

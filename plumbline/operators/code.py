@@ -99,6 +99,19 @@ RULES = (
     Rule("CODE_SHUFFLE_PARTITIONS_001", I, "A fixed number of shuffle partitions", r"spark\.sql\.shuffle\.partitions[\"']\s*,"),
     Rule("CODE_READ_FILES_SCHEMA_001", I, "read_files without a schema", r"\bread_files\s*\(", r"(?i)schema", (0, 5)),
 )
+#: Ids under which editors of another kind report the same findings.
+ALIASES = {
+    "CODE_SORT_001": "CODE_ORDERBY_001", "CODE_STREAM_QUERY_NAME_001": "CODE_STREAM_QUERYNAME_001", "CODE_CHECKPOINT_DBFS_001": "CODE_DBFS_CHECKPOINT_001", "CODE_KAFKA_COMMIT_001": "CODE_KAFKA_001",
+    "CODE_STREAMING_WATERMARK_001": "CODE_STREAM_WATERMARK_001", "CODE_STREAMING_INNER_JOIN_001": "CODE_STREAM_JOIN_001", "CODE_DYNAMIC_ALLOC_001": "CODE_DYN_ALLOC_STREAM_001", "CODE_DELTA_DROP_CREATE_001": "CODE_DROP_CREATE_001",
+}
+#: Rules of those editors alone; ``analyse`` adds them on request.
+MORE_RULES = (
+    Rule("CODE_DELTA_MERGE_001", W, "A merge executed without clauses", r"\.merge\s*\([^)]*\)\s*\.execute\s*\("),
+    Rule("CODE_DELTA_OPTIMIZE_001", I, "Inserts without OPTIMIZE", r"(?i)spark\.sql\s*\(.*INSERT\s+INTO\b(?!.*OPTIMIZE)"),
+    Rule("CODE_DLT_001", I, "Pipeline tables want a schema and expectations", r"(?<![\w@.])dlt\s*\("),
+    Rule("CODE_OPTIMIZE_MERGE_001", W, "OPTIMIZE after each merge of a loop", r"\bmerge\s*\(", gates=(r"OPTIMIZE|optimize\(", r"for\s+\w[\w,\s]*\s+in\s+|while\s+"), once=True),
+    Rule("CODE_STREAM_TRIGGER_ONCE_001", I, "trigger(once=True) is deprecated", r"\.trigger\s*\(\s*once\s*="),
+)
 #: Rules that need more than one pattern and a frame; each has its own function below.
 SHAPED = ("CODE_WITHCOL_LOOP_001", "CODE_WITHCOL_CHAIN_001", "CODE_REPRO_001", "CODE_UDF_FILTER_001", "CODE_REPEATED_ACTIONS_001", "CODE_DLT_CDC_ORDER_001")
 
@@ -248,10 +261,10 @@ def cdc_order(code: DataFrame) -> DataFrame:
     return _issue(hit, "CODE_DLT_CDC_ORDER_001", C, "Clauses of APPLY CHANGES out of order")
 
 
-def analyse(lines: DataFrame, opt_in: bool = False) -> DataFrame:
-    """All code issues, one a rule and line."""
+def analyse(lines: DataFrame, opt_in: bool = False, more: bool = False) -> DataFrame:
+    """All code issues, one a rule and line; ``more``: with the rules of other editors."""
     code = stripped(lines)
-    out = table_issues(lines)
+    out = table_issues(lines, RULES + MORE_RULES * more)
     for shaped in (withcol_chain, withcol_loop, repeated_actions, udf_in_filter, cdc_order, *((repeated_reads,) if opt_in else ())):
         out = out.unionByName(shaped(code))
     return out.dropDuplicates(["file", "line", "id"])

@@ -29,6 +29,8 @@ MEASURES = {
 #: Fence reach in spreads, documents a cell needs to have thresholds of its own, and the sketch size.
 REACH, LEAST_CELL, SKETCH_K = 6.0, 50, 1024
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
+#: Words below which a mean length says nothing.
+LEAST_WORDS = 20
 
 
 def _let(value: Column, body) -> Column:
@@ -93,7 +95,7 @@ def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
         {
             "__base_failed": (F.col("__n_words") < MIN_WORDS) | (100 * F.col("__n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__n_words")),
             "__symbol_ratio": F.col("__n_symbols") / chars,
-            "__mean_word": F.col("__word_chars") / F.greatest(F.col("__n_words"), F.lit(1)),
+            "__mean_word": F.when(F.col("__n_words") >= LEAST_WORDS, F.col("__word_chars") / F.col("__n_words")),
             "__dup_line_ratio": F.col("__n_dup_lines") / F.greatest(F.col("__n_lines"), F.lit(1)),
             "__upper_ratio": F.col("__n_upper") / chars,
             "__shout_ratio": F.col("__n_shouts") / chars,

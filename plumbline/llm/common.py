@@ -47,14 +47,26 @@ def _forget(path: str) -> None:
 def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and nothing is computed twice.
 
-    The files outlive any executor, so a later stage that is retried finds them again.
+    The files outlive any executor, so a later stage that is retried finds them again. They lie in a folder of the application's own;
+    :func:`forget` removes it once results have been read.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumbline/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/plumbline/{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Remove all tables that this application has materialised, in whatever store they lie."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is. Call it on materialised tables."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

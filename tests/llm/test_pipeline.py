@@ -31,3 +31,15 @@ def test_the_rest_works_without(tmp_path):
     shutil.copytree(ROOT, tmp_path / "repo", ignore=kept)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(k.startswith('op1_') for k in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, timeout=120)
+
+
+def test_materialised_tables_can_be_forgotten(spark):
+    from plumbline.llm import common
+
+    kept = common.materialise(spark.range(5), "forgettable")
+    assert kept.count() == 5
+    common.forget(spark)
+    import pytest
+
+    with pytest.raises(Exception, match="(?i)not.exist|FileNotFound"):
+        kept.count()

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: Rows a side may have to be broadcast explicitly; larger sides go through a shuffled join.
 BROADCAST_ROWS = 100_000
 
+#: Input bytes for each partition of keyed work, and the most partitions that size alone asks for.
+PART_BYTES, MOST_PARTS = 128 << 20, 1 << 16
+
 #: The contract's word separators: space and the control characters 0x09 to 0x0D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -73,8 +76,12 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def spread(df: DataFrame, most: int = 0) -> int:
-    """A number of partitions for keyed work: the session's shuffle partitions, ``most`` at most if that is given."""
+    """A number of partitions for keyed work: the session's shuffle partitions, or one for each ``PART_BYTES`` that the planner expects of
+    ``df`` if those are more; at most ``most``. So segments stay small where the session's number was not raised with the data."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 60:  # the planner's "unknown" is larger
+        n = max(n, min(size // PART_BYTES, MOST_PARTS))
     return min(n, most) if most else n
 
 

@@ -28,10 +28,10 @@ PER_NATION = f"SELECT n_name, COUNT(*) AS orders, {CENTS.format('o_totalprice')}
 
 @query("join_broadcast", PER_NATION)
 def join_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dimensions are broadcast behind a check of their rows; orders never move before the aggregate."""
-    nation = small(table(spark, sf_dir, "nation"))
-    customers = small(_customers(spark, sf_dir).select("c_custkey", "c_nationkey").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name"))
-    rows = _orders(spark, sf_dir).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    """Dimensions are broadcast behind a check of their size; orders never move before the aggregate."""
+    nation = small(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    customers = small(_customers(spark, sf_dir).select("c_custkey", "c_nationkey"))
+    rows = _orders(spark, sf_dir).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.groupBy("n_name").agg(F.count("*").alias("orders"), cents("o_totalprice").alias("total"))
 
 

@@ -13,12 +13,12 @@ JOB, RUN, RUN_DATE = "7", 47, "2024-01-12"
 NO_IDENTITY, UNKNOWN = "(no identity)", "UNKNOWN"
 
 
-def priced(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+def priced(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None, prices: DataFrame | None = None) -> DataFrame:
     """Usage with the price valid at its start, null where there is none: equal keys and a half-open interval as the residual.
 
     The price list is broadcast while it is small, so usage is neither shuffled nor sorted.
     """
-    u, p = (usage(spark, sf_dir) if rows is None else rows).alias("u"), small(list_prices(spark)).alias("p")
+    u, p = (usage(spark, sf_dir) if rows is None else rows).alias("u"), small(list_prices(spark) if prices is None else prices).alias("p")
     valid = (F.col("u.usage_start_time") >= F.col("p.price_start_time")) & (F.col("p.price_end_time").isNull() | (F.col("u.usage_start_time") < F.col("p.price_end_time")))
     same = (F.col("u.sku_name") == F.col("p.sku_name")) & (F.col("u.usage_unit") == F.col("p.usage_unit"))
     return u.join(p, same & valid, "left").select("u.*", "p.price")

@@ -14,13 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows any broadcast side may have; larger sides are left to the planner.
-BROADCAST_ROWS = 100_000
+#: Rows any broadcast side may have, and the planner's size up to which rows need not be counted; larger sides are left to the planner.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a bounded count shows that it has ``rows`` rows or fewer."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` with a broadcast hint if the planner knows it to be small (files, literals), or a bounded count shows ``rows`` rows or fewer."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES or df.limit(rows + 1).count() <= rows else df
 
 
 USAGE_SQL = """usage AS (

@@ -43,3 +43,65 @@ def test_materialised_tables_can_be_forgotten(spark):
 
     with pytest.raises(Exception, match="(?i)not.exist|FileNotFound"):
         kept.count()
+
+
+def all_leaks(docs, items):
+    """Every alignment that shares enough equal tokens, window by window."""
+    import re
+    from collections import Counter, defaultdict
+
+    from plumbline.llm import decontaminate as d
+
+    cut = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    wanted = [(j, cut(t)) for j, t in items]
+    found = set()
+    for i, text in docs:
+        words, at = cut(text), defaultdict(list)
+        for p, w in enumerate(words):
+            at[w].append(p)
+        for j, item in wanted:
+            span = min(len(item), d.SPAN)
+            diagonals = Counter(p - k for k, w in enumerate(item) for p in at.get(w, ()))
+            for diagonal, n in diagonals.items():
+                if len(item) >= d.WIDTH and n >= d.AGREE * span:
+                    same = [0 <= diagonal + k < len(words) and words[diagonal + k] == w for k, w in enumerate(item)]
+                    if max(sum(same[s : s + span]) for s in range(len(item) - span + 1)) >= d.AGREE * span:
+                        found.add(i)
+    return found
+
+
+def test_each_stage_against_brute_force(spark, sf_dir):
+    """Each stage on its own input: quality by SQL, lines and copies over all pairs, leaks over all alignments, packing by its rules."""
+    import oracle
+    from test_near_copies import groups
+    from test_operators import slow_cut
+
+    from plumbline.llm import queries
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    texts = lambda df: [(r["doc_id"], r["text"]) for r in df.collect()]
+
+    good = stage["quality"](spark, docs, sf_dir).cache()
+    verdicts = oracle.duck(sf_dir).execute(queries.oracle_sql()["op10_quality_rules"]).df()
+    assert {i for i, _ in texts(good)} == set(verdicts[verdicts.kept].doc_id)
+
+    cut = stage["lines"](spark, good, sf_dir).cache()
+    assert dict(texts(cut)) == slow_cut(texts(good))
+    assert all(r["n_chars"] == len(r["text"]) for r in cut.collect())
+
+    apart = stage["near_copies"](spark, cut, sf_dir).cache()
+    gone = {i for i, _ in texts(cut)} - {i for i, _ in texts(apart)}
+    must, may = groups(texts(cut), 0.8), groups(texts(cut), 0.45)
+    assert gone <= may and len(must - gone) <= 0.03 * len(must)
+
+    clean = stage["benchmark_leaks"](spark, apart, sf_dir).cache()
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    assert {i for i, _ in texts(clean)} == {i for i, _ in texts(apart)} - all_leaks(texts(apart), items)
+
+    packed = stage["pack"](spark, clean, sf_dir).collect()
+    used = {}
+    for r in packed:
+        used[r["sequence_id"]] = used.get(r["sequence_id"], 0) + r["length"]
+    assert {r["doc_id"] for r in packed} == {i for i, _ in texts(clean)} and max(used.values()) <= 2048
+    assert len(used) <= 1.02 * sum(used.values()) / 2048 + 1

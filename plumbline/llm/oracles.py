@@ -34,7 +34,7 @@ def _quality() -> str:
     quartiles = lambda mark: ", ".join(f"quantile_disc({m}, {r}) AS {mark}_{n}_{m}" for m in names for n, r in (("q1", 0.25), ("q3", 0.75)))
     pick = lambda n, m: f"CASE WHEN c.c_n >= {q.LEAST_CELL} THEN c.c_{n}_{m} WHEN l.l_n >= {q.LEAST_CELL} THEN l.l_{n}_{m} ELSE t.t_{n}_{m} END"
     width = lambda m: f"CAST({q.REACH} AS DOUBLE) * greatest({pick('q3', m)} - {pick('q1', m)}, CAST({q.MEASURES[m]} AS DOUBLE))"
-    inside = " AND ".join(f"coalesce(x.{m} BETWEEN {pick('q1', m)} - {width(m)} AND {pick('q3', m)} + {width(m)}, true)" for m in names)
+    inside = " AND ".join(f"(coalesce(x.{m} BETWEEN {pick('q1', m)} - {width(m)} AND {pick('q3', m)} + {width(m)}, true){f' OR x.n_words < {q.LEAST_WORDS}' * (m == 'mean_word')})" for m in names)
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda z: regexp_matches(z, '[^\x20\x09-\x0D]')) AS ls FROM documents),
@@ -45,7 +45,7 @@ v AS (SELECT doc_id, max(CAST(again AS INTEGER)) OVER (PARTITION BY doc_id ORDER
 r AS (SELECT doc_id, CAST(sum(inside) AS BIGINT) AS n_repeat FROM v GROUP BY doc_id),
 n AS (SELECT d.*, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda z: length(z))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
   len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
-x AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed, n_symbols / CAST(greatest(word_chars, 1) AS DOUBLE) AS symbol_ratio, CASE WHEN n_words >= {q.LEAST_WORDS} THEN word_chars / CAST(n_words AS DOUBLE) END AS mean_word,
+x AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed, n_symbols / CAST(greatest(word_chars, 1) AS DOUBLE) AS symbol_ratio, word_chars / CAST(greatest(n_words, 1) AS DOUBLE) AS mean_word,
   n_dup_lines / CAST(greatest(len(ls), 1) AS DOUBLE) AS dup_line_ratio, len(regexp_extract_all(text, '[A-Z]')) / CAST(greatest(word_chars, 1) AS DOUBLE) AS upper_ratio, len(regexp_extract_all(text, '!')) / CAST(greatest(word_chars, 1) AS DOUBLE) AS shout_ratio FROM n),
 c AS (SELECT lang, source, count(*) AS c_n, {quartiles('c')} FROM x WHERE NOT base_failed GROUP BY lang, source),
 l AS (SELECT lang, count(*) AS l_n, {quartiles('l')} FROM x WHERE NOT base_failed GROUP BY lang),

@@ -95,7 +95,7 @@ def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
         {
             "__base_failed": (F.col("__n_words") < MIN_WORDS) | (100 * F.col("__n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__n_words")),
             "__symbol_ratio": F.col("__n_symbols") / chars,
-            "__mean_word": F.when(F.col("__n_words") >= LEAST_WORDS, F.col("__word_chars") / F.col("__n_words")),
+            "__mean_word": F.col("__word_chars") / F.greatest(F.col("__n_words"), F.lit(1)),
             "__dup_line_ratio": F.col("__n_dup_lines") / F.greatest(F.col("__n_lines"), F.lit(1)),
             "__upper_ratio": F.col("__n_upper") / chars,
             "__shout_ratio": F.col("__n_shouts") / chars,
@@ -151,7 +151,8 @@ def judged(rows: DataFrame) -> DataFrame:
     fences = common.maybe_broadcast(thresholds(rows))
     inside = F.lit(True)
     for m in MEASURES:
-        inside &= F.coalesce(F.col(f"__{m}").between(F.col(f"__{m}_lo"), F.col(f"__{m}_hi")), F.lit(True))
+        own = F.coalesce(F.col(f"__{m}").between(F.col(f"__{m}_lo"), F.col(f"__{m}_hi")), F.lit(True))
+        inside &= own | (F.col("__n_words") < LEAST_WORDS) if m == "mean_word" else own
     on = F.col("__lang").eqNullSafe(F.col("__t_lang")) & F.col("__source").eqNullSafe(F.col("__t_source"))
     return rows.join(fences, on, "left").withColumn("__kept", ~F.col("__base_failed") & inside)
 

@@ -31,7 +31,7 @@ from .lm_scoring import mixed
 
 SHINGLE, RADIUS = 5, 42
 TABLES, GROUPS, REFERENCES, PIVOTS = 32, 3, 64, 16
-DENSE, HUBS, TOGETHER = 12, 4, 512
+DENSE, HUBS, TOGETHER = 6, 2, 512
 #: Of the first 64 bits, so many differ in a bucket's pair that goes on: 11 are expected at the radius, 32 of unrelated texts.
 FIRST = 24
 WORDS = 4  # of 64 bits
@@ -128,15 +128,15 @@ def links(texts: DataFrame) -> DataFrame:
     Bucket rows hold an id and 64 bits; whole fingerprints and pivot distances join the pairs that buckets propose.
     """
     each = texts.select("own", "f0", F.posexplode("keys").alias("t", "key"))
-    sizes = common.materialise(each.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"), "near-buckets")
-    members = common.materialise(each.join(sizes, ["t", "key"]), "near-members")
+    crowded = common.materialise(each.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > DENSE), "near-crowds")
+    dealt = each.join(common.maybe_broadcast(crowded), ["t", "key"], "left")
     parts = F.ceil(F.col("n") / DENSE)
-    dealt = members.withColumn("part", F.when(F.col("n") <= DENSE, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("own", "t"), parts)))
+    dealt = dealt.withColumn("part", F.when(F.col("n").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("own", "t"), parts)))
     x, y = dealt.alias("x"), dealt.alias("y")
     same = (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part"))
     first = F.bit_count(F.col("x.f0").bitwiseXOR(F.col("y.f0"))) <= FIRST
     pairs = x.join(y, same & (F.col("x.own") < F.col("y.own")) & first).select(F.col("x.own").alias("a"), F.col("y.own").alias("b"))
-    crowd = members.filter(F.col("n") > DENSE)
+    crowd = dealt.filter("n IS NOT NULL")
     h, m = _hubs(crowd).alias("h"), crowd.alias("m")
     at = (F.col("m.t") == F.col("h.t")) & (F.col("m.key") == F.col("h.key")) & (F.col("m.own") != F.col("h.own"))
     star = m.join(h, at & (F.bit_count(F.col("m.f0").bitwiseXOR(F.col("h.f0"))) <= FIRST))

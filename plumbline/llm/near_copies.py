@@ -1,12 +1,13 @@
 """The pipeline's near-copy stage: SimHash with pivot distance tables, for word five-shingles of similarity 0.8 or more.
 
 Two bits of 64, as in the contract's query, mean a similarity near 1; at 0.8 about 15 % of all bits differ. So the stage works with 256-bit
-fingerprints (39 bits expected at 0.8, 99 % of such pairs within ``RADIUS``; unrelated texts are over 100 apart) and with many more pivots:
+fingerprints (39 bits expected at 0.8 with a deviation of 5.7, over 99 % of such pairs within ``RADIUS``; unrelated texts are over 100 apart) and
+with many more pivots. Fingerprints only propose: what links two texts is the similarity of their sets of shingles, ``LEAST`` or more.
 
 * ``TABLES`` tables of ``GROUPS`` groups of ``REFERENCES`` reference fingerprints. A text's place in a table is the nearest (or farthest)
   reference of each group, by the votes behind its fingerprint; texts that are close share it in some table.
-* Inside a bucket, pairs whose distances to ``PIVOTS`` further references differ by more than the radius are discarded, and survivors are verified
-  by exact popcounts.
+* Inside a bucket, pairs whose distances to ``PIVOTS`` further references differ by more than the radius are discarded, and survivors go on by
+  exact popcounts. Their texts' shingles are then made again and compared.
 * Texts of one set of shingles are one row from the start. A bucket of more than ``DENSE`` rows is not paired off: its rows meet the
   bucket's ``HUBS`` (those nearest to its majority fingerprint, as an original is among its copies) and one another in parts of about ``DENSE``
   rows, dealt anew in each table. So the work grows with the rows, also where a third of them are near copies of one text.
@@ -29,10 +30,11 @@ from . import common
 from .components import components
 from .lm_scoring import mixed
 
-SHINGLE, RADIUS = 5, 42
-TABLES, GROUPS, REFERENCES, PIVOTS = 32, 3, 64, 16
+SHINGLE, RADIUS = 5, 55
+LEAST = (4, 5)  # the similarity, as a fraction
+TABLES, GROUPS, REFERENCES, PIVOTS = 64, 3, 64, 16
 DENSE, HUBS, TOGETHER = 6, 2, 512
-#: Of the first 64 bits, so many differ in a bucket's pair that goes on: 11 are expected at the radius, 32 of unrelated texts.
+#: Of the first 64 bits, so many differ in a bucket's pair that goes on: 14 are expected at the radius, 32 of unrelated texts.
 FIRST = 24
 WORDS = 4  # of 64 bits
 SALTS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -85,12 +87,12 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prints = np.packbits(bits, axis=1, bitorder="little").view("<i8")
             far = (bits[:, None, :] != pivots.T[None, :, :]).sum(axis=2).astype(np.int32)
             sig = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
-            cols = [part.column("doc_id"), pa.array(np.array(sig, np.uint64).view(np.int64)), *[pa.array(np.ascontiguousarray(prints[:, j])) for j in range(WORDS)], *[pa.array(np.ascontiguousarray(far[:, j])) for j in range(PIVOTS)]]
+            cols = [part.column("doc_id"), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), *[pa.array(np.ascontiguousarray(prints[:, j])) for j in range(WORDS)], *[pa.array(np.ascontiguousarray(far[:, j])) for j in range(PIVOTS)]]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(list(key), pa.list_(pa.int32()))], names=NAMES)
 
 
 FS, DS = [f"f{j}" for j in range(WORDS)], [f"d{j}" for j in range(PIVOTS)]
-NAMES = ["doc_id", "sig", *FS, *DS, "keys"]
+NAMES = ["doc_id", "sig", "size", *FS, *DS, "keys"]
 
 
 def _apart(x: str, y: str) -> Column:
@@ -101,8 +103,9 @@ def _apart(x: str, y: str) -> Column:
 
 
 def _close(x: str, y: str) -> Column:
-    """The largest coordinate difference, then the exact distance."""
-    out = F.lit(True)
+    """Sizes that allow the similarity, the largest coordinate difference, then the exact distance."""
+    m, n = F.col(f"{x}.size"), F.col(f"{y}.size")
+    out = LEAST[1] * F.least(m, n) >= LEAST[0] * F.greatest(m, n)
     for d in DS:
         out &= F.abs(F.col(f"{x}.{d}") - F.col(f"{y}.{d}")) <= RADIUS
     return out & (_apart(x, y) <= RADIUS)
@@ -122,8 +125,30 @@ def _hubs(crowd: DataFrame) -> DataFrame:
     return best.select("t", "key", "hub.*")
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """Links ``a``, ``b`` between the ids of distinct texts (``own``, fingerprint, pivot distances, keys).
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, TOGETHER):
+            part = b.slice(k, TOGETHER)
+            sets = [shingles(x.as_py()) for x in part.column("text")]
+            sig = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["own", "sig", "shingles"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` of ids whose texts have the similarity ``LEAST`` or more, by their whole sets of shingles."""
+    pairs = common.materialise(pairs.distinct(), "near-pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    each = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets, f"own {kind}, sig long, shingles array<long>")
+    sets = common.materialise(each.groupBy("own", "sig").agg(F.first("shingles").alias("shingles")).select("own", "shingles"), "near-sets")
+    found = pairs.join(sets.alias("p"), F.col("a") == F.col("p.own")).join(sets.alias("q"), F.col("b") == F.col("q.own"))
+    sizes = F.size("p.shingles") + F.size("q.shingles")
+    shared = F.size(F.array_intersect("p.shingles", "q.shingles"))
+    return found.filter((LEAST[0] + LEAST[1]) * shared >= LEAST[0] * sizes).select("a", "b").distinct()
+
+
+def proposed(texts: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` within the radius, of the ids of distinct texts (``own``, size, fingerprint, pivot distances, keys).
 
     Bucket rows hold an id and 64 bits; whole fingerprints and pivot distances join the pairs that buckets propose.
     """
@@ -141,7 +166,7 @@ def links(texts: DataFrame) -> DataFrame:
     at = (F.col("m.t") == F.col("h.t")) & (F.col("m.key") == F.col("h.key")) & (F.col("m.own") != F.col("h.own"))
     star = m.join(h, at & (F.bit_count(F.col("m.f0").bitwiseXOR(F.col("h.f0"))) <= FIRST))
     both = pairs.union(star.select(F.least("m.own", "h.own"), F.greatest("m.own", "h.own"))).distinct()
-    prints = texts.select("own", *FS, *DS)
+    prints = texts.select("own", "size", *FS, *DS)
     found = both.join(prints.alias("p"), F.col("a") == F.col("p.own")).join(prints.alias("q"), F.col("b") == F.col("q.own"))
     return found.filter(_close("p", "q")).select("a", "b")
 
@@ -149,11 +174,11 @@ def links(texts: DataFrame) -> DataFrame:
 def removed(docs: DataFrame) -> DataFrame:
     """Ids of documents that are not the smallest of their group."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = ", ".join([f"doc_id {kind}", "sig long", *[f"{f} long" for f in FS], *[f"{d} int" for d in DS], "keys array<int>"])
+    schema = ", ".join([f"doc_id {kind}", "sig long", "size int", *[f"{f} long" for f in FS], *[f"{d} int" for d in DS], "keys array<int>"])
     prints = common.materialise(docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(_printed, schema), "near-prints")
-    rest = F.first(F.struct(*FS, *DS, "keys")).alias("rest")  # a function of the set of shingles
+    rest = F.first(F.struct("size", *FS, *DS, "keys")).alias("rest")  # a function of the set of shingles
     texts = common.materialise(prints.groupBy("sig").agg(F.min("doc_id").alias("own"), rest).select("sig", "own", "rest.*"), "near-texts")
-    found = components(links(texts))
+    found = components(verified(proposed(texts), docs))
     copies = prints.select("doc_id", "sig").join(texts.select("sig", "own"), "sig").filter("doc_id <> own").select("doc_id")
     later = found.filter("node <> root").select(F.col("node").alias("doc_id"))
     return copies.union(later).distinct()

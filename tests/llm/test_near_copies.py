@@ -61,3 +61,18 @@ def test_votes_and_shingles():
     assert near_copies.shingles(text).tolist() == near_copies.shingles("a\tB c  d e f").tolist()
     many = np.arange(1, 100_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     assert np.allclose(near_copies.votes(many), near_copies.votes(many[:50_000]) + near_copies.votes(many[50_000:]), atol=1)
+
+
+def test_pairs_near_the_least_similarity(documents):
+    """Pairs just above 0.8 go, those just below stay."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(150):
+        base = [f"p{k}w{rng.randrange(4000)}" for _ in range(300)]
+        other = list(base)
+        for at in range(7, 7 + 25 * (6 + k % 2 * 3), 25):  # each changes five shingles: 0.82 and 0.74
+            other[at] = "changed"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    got = {r["doc_id"] for r in near_copies.removed(documents(rows)).collect()}
+    must = groups(rows, 0.8)
+    assert len(must) == 75 and got <= must and len(must - got) <= 2

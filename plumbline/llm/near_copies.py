@@ -8,9 +8,11 @@ with many more pivots. Fingerprints only propose: what links two texts is the si
   reference of each group, by the votes behind its fingerprint; texts that are close share it in some table.
 * Inside a bucket, pairs whose distances to ``PIVOTS`` further references differ by more than the radius are discarded, and survivors go on by
   exact popcounts. Their texts' shingles are then made again and compared.
-* Texts of one set of shingles are one row from the start. A bucket of more than ``DENSE`` rows is not paired off: its rows meet the
-  bucket's ``HUBS`` (those nearest to its majority fingerprint, as an original is among its copies) and one another in parts of about ``DENSE``
-  rows, dealt anew in each table. So the work grows with the rows, also where a third of them are near copies of one text.
+* Texts of one set of shingles are one row from the start. A bucket of more than ``DENSE`` rows is not paired off at once: its rows first meet
+  the bucket's ``HUBS`` (those nearest to its majority fingerprint, as an original is among its copies) and one another in parts of about
+  ``DENSE`` rows, dealt anew in each table. Of the groups this gives, the largest in a bucket needs no more pairs inside it; each other row of
+  the bucket then meets all rows of other groups, in blocks of ``BLOCK`` rows. So every pair of a bucket is compared or already in one group.
+  The work grows with the rows where many are near copies of one text, and with the square of a bucket where its rows only resemble one another.
 
 Links join into components, and the smallest id of each stays. Edge cases: null and wordless texts are one set (the empty one); rows without
 an id stay; rows that repeat a kept id all stay; an empty table gives an empty result.
@@ -33,7 +35,8 @@ from .lm_scoring import mixed
 SHINGLE, RADIUS = 5, 55
 LEAST = (4, 5)  # the similarity, as a fraction
 TABLES, GROUPS, REFERENCES, PIVOTS = 64, 3, 64, 16
-DENSE, HUBS, TOGETHER = 6, 2, 512
+DENSE, HUBS, TOGETHER = 12, 4, 512
+BLOCK = 512
 #: Of the first 64 bits, so many differ in a bucket's pair that goes on: 14 are expected at the radius, 32 of unrelated texts.
 FIRST = 24
 WORDS = 4  # of 64 bits
@@ -147,13 +150,47 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return found.filter((LEAST[0] + LEAST[1]) * shared >= LEAST[0] * sizes).select("a", "b").distinct()
 
 
-def proposed(texts: DataFrame) -> DataFrame:
-    """Pairs ``a``, ``b`` within the radius, of the ids of distinct texts (``own``, size, fingerprint, pivot distances, keys).
+def crowds(texts: DataFrame) -> DataFrame:
+    """Buckets ``t``, ``key`` of more than ``DENSE`` rows, and ``n``."""
+    each = texts.select(F.posexplode("keys").alias("t", "key"))
+    return common.materialise(each.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > DENSE), "near-crowds")
+
+
+def left_over(texts: DataFrame, crowded: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs within the radius that share a crowded bucket and are in different groups of ``found(node, root)``."""
+    prints = texts.select("own", "size", *FS, *DS)
+    each = texts.select("own", F.posexplode("keys").alias("t", "key")).join(common.maybe_broadcast(crowded.select("t", "key")), ["t", "key"], "left_semi")
+    known = each.join(found, F.col("own") == F.col("node"), "left").select("t", "key", "own", F.coalesce("root", "own").alias("root"))
+    known = common.materialise(known, "near-known")
+    groups = known.groupBy("t", "key", "root").agg(F.count("*").alias("m"))
+    most = groups.groupBy("t", "key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), (F.sum("m") - F.max("m")).alias("others")).filter("others > 0")
+    open_ = known.join(common.maybe_broadcast(common.materialise(most, "near-open")), ["t", "key"]).join(prints, "own")
+    open_ = common.materialise(open_.withColumn("rest", F.col("root") != F.col("main")).withColumn("parts", F.ceil(F.col("others") / BLOCK)), "near-rest")
+    x = open_.filter("rest").withColumn("part", F.pmod(F.xxhash64("own"), F.col("parts"))).alias("x")
+    y = open_.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("y")
+    same = (F.col("x.t") == F.col("y.t")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part"))
+    once = (F.col("x.root") != F.col("y.root")) & (~F.col("y.rest") | (F.col("x.own") < F.col("y.own")))
+    pairs = x.join(y, same & once & _close("x", "y"))
+    return pairs.select(F.least("x.own", "y.own").alias("a"), F.greatest("x.own", "y.own").alias("b"))
+
+
+def linked(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node``, ``root`` of all texts that have a near copy."""
+    crowded = crowds(texts)
+    found = components(verified(proposed(texts, crowded), docs))
+    if crowded.isEmpty():
+        return found
+    more = verified(left_over(texts, crowded, found), docs)
+    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+
+
+def proposed(texts: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` within the radius, of the ids of distinct texts (``own``, size, fingerprint, pivot distances, keys): of a crowded bucket
+    those with hubs and inside parts only.
 
     Bucket rows hold an id and 64 bits; whole fingerprints and pivot distances join the pairs that buckets propose.
     """
     each = texts.select("own", "f0", F.posexplode("keys").alias("t", "key"))
-    crowded = common.materialise(each.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > DENSE), "near-crowds")
     dealt = each.join(common.maybe_broadcast(crowded), ["t", "key"], "left")
     parts = F.ceil(F.col("n") / DENSE)
     dealt = dealt.withColumn("part", F.when(F.col("n").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("own", "t"), parts)))
@@ -178,7 +215,7 @@ def removed(docs: DataFrame) -> DataFrame:
     prints = common.materialise(docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(_printed, schema), "near-prints")
     rest = F.first(F.struct("size", *FS, *DS, "keys")).alias("rest")  # a function of the set of shingles
     texts = common.materialise(prints.groupBy("sig").agg(F.min("doc_id").alias("own"), rest).select("sig", "own", "rest.*"), "near-texts")
-    found = components(verified(proposed(texts), docs))
+    found = linked(texts, docs)
     copies = prints.select("doc_id", "sig").join(texts.select("sig", "own"), "sig").filter("doc_id <> own").select("doc_id")
     later = found.filter("node <> root").select(F.col("node").alias("doc_id"))
     return copies.union(later).distinct()

@@ -76,3 +76,20 @@ def test_pairs_near_the_least_similarity(documents):
     got = {r["doc_id"] for r in near_copies.removed(documents(rows)).collect()}
     must = groups(rows, 0.8)
     assert len(must) == 75 and got <= must and len(must - got) <= 2
+
+
+def test_copies_among_texts_that_share_boilerplate(documents, monkeypatch):
+    """In buckets crowded with texts that resemble one another without being copies, every pair is still compared."""
+    monkeypatch.setattr(near_copies, "DENSE", 2)
+    monkeypatch.setattr(near_copies, "HUBS", 1)
+    rng = random.Random(21)
+    shared = [f"b{rng.randrange(4000)}" for _ in range(250)]
+    rows = []
+    for k in range(150):
+        own = [f"o{k}x{j}" for j in range(50)]
+        rows.append((2 * k, " ".join(shared + own)))
+        if k % 3 == 0:
+            rows.append((2 * k + 1, " ".join(shared + own[:5] + [f"c{k}"] + own[6:30] + [f"d{k}"] + own[31:])))
+    got = {r["doc_id"] for r in near_copies.removed(documents(rows)).collect()}
+    must = groups(rows, 0.8)
+    assert len(must) == 50 and got == must

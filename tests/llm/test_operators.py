@@ -305,6 +305,21 @@ def test_leaks_against_all_alignments(spark, documents):
     assert kept == {i for i, _ in docs} - {i for i, _ in got}
 
 
+def test_every_allowed_substitution_is_found(spark, documents):
+    """Items of 8 to 20 tokens with the most substitutions that the rule allows, at every combination of places; short texts and cut items too."""
+    from itertools import combinations
+
+    items = [(n, " ".join(f"i{n}t{k}" for k in range(n))) for n in range(8, 21)]
+    docs, want = [(1, " ".join(f"i8t{k}" for k in range(7))), (2, "x " + " ".join(f"i10t{k}" for k in range(2, 10)))], {(1, 8), (2, 10)}
+    for n, text in items:
+        most = n - math.ceil(decontaminate.AGREE * n - 1e-9)
+        for at in combinations(range(n), most):
+            docs.append((len(docs) + 1, " ".join("other" if k in at else w for k, w in enumerate(text.split()))))
+            want.add((len(docs), n))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(documents(docs), bench).collect()} == want
+
+
 def test_verbatim_items_are_all_found(spark, sf_dir):
     docs, bench = rows_of(spark, sf_dir), rows_of(spark, sf_dir, "benchmark")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}

@@ -11,7 +11,7 @@ items AS (SELECT item_id, t, len(t) AS n, least(len(t), {decontaminate.SPAN}) AS
 i AS (SELECT item_id, n, span, unnest(t) AS tok, generate_subscripts(t, 1) AS k FROM items),
 m AS (SELECT doc_id, item_id, n, span, d.p - i.k AS diagonal, list(i.k) AS ks FROM d JOIN i ON d.tok = i.tok GROUP BY ALL HAVING count(*) >= {decontaminate.AGREE} * span),
 w AS (SELECT doc_id, item_id, n, span, len(list_filter(ks, lambda k: k >= s AND k < s + span)) AS agree FROM (SELECT *, unnest(generate_series(1, n - span + 1)) AS s FROM m))
-SELECT doc_id, item_id, max(n) AS n_tokens, max(span) AS n_window, CAST(max(agree) AS BIGINT) AS n_agree FROM w WHERE agree >= {decontaminate.AGREE} * span GROUP BY doc_id, item_id
+SELECT doc_id, item_id, max(n) AS n_tokens, max(span) AS n_window, CAST(max(agree) AS BIGINT) AS n_agree FROM w WHERE agree >= CASE WHEN n < {decontaminate.SHORT} THEN 1.0 ELSE {decontaminate.AGREE} END * span GROUP BY doc_id, item_id
 """
 
 #: Every byte with the 50-byte string that starts at it.

@@ -33,8 +33,9 @@ def _quality() -> str:
     names = list(q.MEASURES)
     quartiles = lambda mark: ", ".join(f"quantile_disc({m}, {r}) AS {mark}_{n}_{m}" for m in names for n, r in (("q1", 0.25), ("q3", 0.75)))
     pick = lambda n, m: f"CASE WHEN c.c_n >= {q.LEAST_CELL} THEN c.c_{n}_{m} WHEN l.l_n >= {q.LEAST_CELL} THEN l.l_{n}_{m} ELSE t.t_{n}_{m} END"
-    width = lambda m: f"CAST({q.REACH} AS DOUBLE) * greatest({pick('q3', m)} - {pick('q1', m)}, CAST({q.MEASURES[m]} AS DOUBLE))"
-    inside = " AND ".join(f"(coalesce(x.{m} BETWEEN {pick('q1', m)} - {width(m)} AND {pick('q3', m)} + {width(m)}, true){f' OR x.n_words < {q.LEAST_WORDS}' * (m == 'mean_word')})" for m in names)
+    places = lambda m: f"greatest({'len(ls)' if q.MEASURES[m][1] == 'n_lines' else q.MEASURES[m][1]}, 1)"
+    width = lambda m: f"CAST({q.REACH} AS DOUBLE) * ({pick('q3', m)} - {pick('q1', m)} + sqrt({pick('q3', m)} / {places(m)}) + 1 / CAST({places(m)} AS DOUBLE))"
+    inside = " AND ".join(f"coalesce(x.{m} BETWEEN {pick('q1', m)} - ({width(m)}) AND {pick('q3', m)} + ({width(m)}), true)" for m in names)
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda z: regexp_matches(z, '[^\x20\x09-\x0D]')) AS ls FROM documents),

@@ -3,8 +3,9 @@
 Every document gets a handful of measures inside its own row (no explode, no shuffle). Per (language, source) cell a KLL
 sketch of each measure is aggregated with map-side combine; cells of few documents take the merged sketches of their
 language, and those of small languages the merge of everything. Quartiles from the sketches give outlier fences
-``q25 - reach * spread`` and ``q75 + reach * spread`` (spread: the interquartile range, or the measure's floor if that is
-larger), which are joined back and applied.
+``q25 - reach * spread`` and ``q75 + reach * spread``, which are joined back and applied. Each measure is a count over a number of
+places n (symbols over characters, say), so a document's spread is the interquartile range of its cell plus what counting alone makes
+of the cell's upper quartile in a document of its size, ``sqrt(q75 / n) + 1 / n``. No fence has a constant of its own.
 
 Edge cases: a null text counts as empty (0 words, so it fails the base rule); null language or source forms a cell of its own;
 repeated rows and repeated ids are judged row by row; an empty table gives an empty result. Extra columns are carried, and
@@ -13,24 +14,25 @@ internal columns are prefixed ``__`` and extra ones travel inside a struct, so t
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: measure: the least spread its fence works with
+#: measure: the count's column, and that of the places it is a share of
 MEASURES = {
-    "symbol_ratio": 0.005,
-    "mean_word": 0.45,
-    "dup_line_ratio": 0.1,
-    "upper_ratio": 0.03,
-    "shout_ratio": 0.02,
+    "symbol_ratio": ("n_symbols", "word_chars"),
+    "mean_word": ("word_chars", "n_words"),
+    "dup_line_ratio": ("n_dup_lines", "n_lines"),
+    "upper_ratio": ("n_upper", "word_chars"),
+    "shout_ratio": ("n_shouts", "word_chars"),
 }
 #: Fence reach in spreads, documents a cell needs to have thresholds of its own, and the sketch size.
 REACH, LEAST_CELL, SKETCH_K = 6.0, 50, 1024
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: Words below which a mean length says nothing.
-LEAST_WORDS = 20
 
 
 def _let(value: Column, body) -> Column:
@@ -90,21 +92,16 @@ def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("__n_dup_lines"),
         repeat_words(F.col("__words")).alias("__n_repeat_words"),
     )
-    chars = F.greatest(F.col("__word_chars"), F.lit(1))
-    return step.withColumns(
-        {
-            "__base_failed": (F.col("__n_words") < MIN_WORDS) | (100 * F.col("__n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__n_words")),
-            "__symbol_ratio": F.col("__n_symbols") / chars,
-            "__mean_word": F.col("__word_chars") / F.greatest(F.col("__n_words"), F.lit(1)),
-            "__dup_line_ratio": F.col("__n_dup_lines") / F.greatest(F.col("__n_lines"), F.lit(1)),
-            "__upper_ratio": F.col("__n_upper") / chars,
-            "__shout_ratio": F.col("__n_shouts") / chars,
-        }
-    )
+    failed = (F.col("__n_words") < MIN_WORDS) | (100 * F.col("__n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__n_words"))
+    return step.withColumns({"__base_failed": failed} | {f"__{m}": F.col(f"__{count}") / _places(m) for m, (count, _) in MEASURES.items()})
+
+
+def _places(measure: str) -> Column:
+    return F.greatest(F.col(f"__{MEASURES[measure][1]}"), F.lit(1))
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
-    """Fences ``<measure>_lo`` and ``<measure>_hi`` per (language, source), from documents that pass the base rule.
+    """Quartiles ``<measure>_q1`` and ``<measure>_q3`` per (language, source), from documents that pass the base rule.
 
     One pass builds the cell sketches; language and global sketches are merges of those, never a second pass over documents.
     """
@@ -135,26 +132,24 @@ def thresholds(rows: DataFrame) -> DataFrame:
     quart = lambda m, r: F.kll_sketch_get_quantile_double(pick(m), F.lit(r))
     step = joined.select(
         F.col("c__lang").alias("__t_lang"), F.col("__source").alias("__t_source"),
-        *[quart(m, r).alias(f"__{n}_{m}") for m in MEASURES for n, r in (("q1", 0.25), ("q3", 0.75))],
+        *[quart(m, r).alias(f"__{m}_{n}") for m in MEASURES for n, r in (("q1", 0.25), ("q3", 0.75))],
     )
-    fences = []
-    for m, floor in MEASURES.items():
-        lo, hi = F.col(f"__q1_{m}"), F.col(f"__q3_{m}")
-        width = REACH * F.greatest(hi - lo, F.lit(floor))
-        fences += [(lo - width).alias(f"__{m}_lo"), (hi + width).alias(f"__{m}_hi")]
-    return common.materialise(step.select("__t_lang", "__t_source", *fences), "quality-fences")
+    return common.materialise(step, "quality-quartiles")
+
+
+def inside(measure: str) -> Column:
+    """Whether a row of :func:`measured` with its cell's quartiles lies between the fences; so it does if the cell has none."""
+    own, lo, hi = F.col(f"__{measure}"), F.col(f"__{measure}_q1"), F.col(f"__{measure}_q3")
+    width = REACH * (hi - lo + F.sqrt(hi / _places(measure)) + 1 / _places(measure))
+    return F.coalesce(own.between(lo - width, hi + width), F.lit(True))
 
 
 def judged(rows: DataFrame) -> DataFrame:
     """``rows`` of :func:`measured`, materialised, with ``__kept``. The fences are joined on their cell: broadcast while they
     are few (checked), else by a shuffled join whose hot cells adaptive execution splits."""
     fences = common.maybe_broadcast(thresholds(rows))
-    inside = F.lit(True)
-    for m in MEASURES:
-        own = F.coalesce(F.col(f"__{m}").between(F.col(f"__{m}_lo"), F.col(f"__{m}_hi")), F.lit(True))
-        inside &= own | (F.col("__n_words") < LEAST_WORDS) if m == "mean_word" else own
     on = F.col("__lang").eqNullSafe(F.col("__t_lang")) & F.col("__source").eqNullSafe(F.col("__t_source"))
-    return rows.join(fences, on, "left").withColumn("__kept", ~F.col("__base_failed") & inside)
+    return rows.join(fences, on, "left").withColumn("__kept", reduce(and_, [inside(m) for m in MEASURES], ~F.col("__base_failed")))
 
 
 def score(docs: DataFrame) -> DataFrame:

@@ -466,6 +466,26 @@ def test_thresholds_adapt_to_their_cell(documents):
     assert 2000 not in kept and set(range(120)) <= kept and set(range(1000, 1120)) <= kept
 
 
+def test_fences_follow_each_cell(spark, documents):
+    """Two sources that differ in every measure get different fences for each, and what is usual in one is odd in the other."""
+    rng = random.Random(12)
+
+    def text(k, rich):
+        word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 6) + 6 * rich)).capitalize() if rich else "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 6)))
+        lines = [" ".join(word() + ("#!" if rich and rng.random() < 0.7 else "") for _ in range(rng.randrange(8, 13))) for _ in range(12)]
+        return "\n".join(lines + (["same line"] * rng.randrange(6, 12) if rich else []))
+
+    docs = documents([(k, text(k, k % 2 == 1), "en", f"s{k % 2}") for k in range(200)])
+    rows = quality_rules.thresholds(quality_rules.measured(docs, ["doc_id"])).collect()
+    assert len(rows) == 2
+    for m in quality_rules.MEASURES:
+        (a, b) = ((r[f"__{m}_q1"], r[f"__{m}_q3"]) for r in rows)
+        assert a != b
+    assert all(r["kept"] for r in quality_rules.score(docs).collect())
+    swapped = docs.unionByName(documents([(900, text(900, True), "en", "s0"), (901, text(901, False), "en", "s1")]))
+    assert {r["doc_id"] for r in quality_rules.score(swapped).collect() if not r["kept"]} == {900, 901}
+
+
 def test_clean_documents_stay(spark):
     docs, labels = rows_of(spark, "/root/testdata/sf0.01"), rows_of(spark, "/root/testdata/sf0.01", "labels")
     both = quality_rules.score(docs).join(labels, "doc_id").collect()

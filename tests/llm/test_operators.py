@@ -196,14 +196,44 @@ def test_und(documents):
 
 
 def slow_cut(rows):
-    first, all_ = {}, Counter()
-    parts = {i: line_dedup.chunks(t) for i, t in rows if t is not None and i is not None}
+    """Chunks in order of document and place; then, line by line, what goes on beside a removed chunk as it does beside its first place."""
+    parts = {i: [c.split("\n") for c in line_dedup.chunks(t)] for i, t in rows if t is not None and i is not None}
+    first, gone = {}, {i: set() for i in parts}
     for i in sorted(parts):
+        starts = np.cumsum([0, *map(len, parts[i])]).tolist()
+        flat = [x for c in parts[i] for x in c]
         for k, c in enumerate(parts[i]):
-            if "\n" in c and WORD.search(c):
-                first.setdefault(c, (i, k))
-                all_[c] += 1
-    return {i: "\n".join(c for k, c in enumerate(cs) if all_[c] < 2 or first[c] == (i, k)) for i, cs in parts.items()}
+            if len(c) < 2 or not WORD.search("\n".join(c)):
+                continue
+            j, at, size, end, other = first.setdefault(tuple(c), (i, starts[k], k, starts, flat))
+            if (j, at) == (i, starts[k]):
+                continue
+            gone[i].update(range(starts[k], starts[k + 1]))
+            a, b = starts[k] - 1, at - 1
+            while k and size and a >= starts[k - 1] and b >= end[size - 1] and flat[a] == other[b]:
+                gone[i].add(a)
+                a, b = a - 1, b - 1
+            a, b = starts[k + 1], end[size + 1]
+            while k + 1 < len(parts[i]) and size + 2 < len(end) and a < starts[k + 2] and b < end[size + 2] and flat[a] == other[b]:
+                gone[i].add(a)
+                a, b = a + 1, b + 1
+    return {i: "\n".join(x for k, x in enumerate([x for c in parts[i] for x in c]) if k not in gone[i]) for i in parts}
+
+
+def test_repeated_runs_go_whole(documents):
+    """Runs of lines planted without regard to chunks go, all but the first; other lines stay."""
+    rng = random.Random(17)
+    runs = [[f"run {r} line {k} {rng.random()}" for k in range(rng.randrange(10, 25))] for r in range(25)]
+    rows, planted = [], 0
+    for i in range(100):
+        own = [f"own {i} {k} {rng.random()}" for k in range(rng.randrange(3, 12))]
+        at = rng.randrange(len(own) + 1)
+        rows.append((i, "\n".join(own[:at] + runs[i % 25] + own[at:])))
+        planted += len(runs[i % 25]) * (i >= 25)
+    left = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.cut(documents(rows)).collect()}
+    assert all([x for x in left[i] if x.startswith("own")] == [x for x in t.split("\n") if x.startswith("own")] for i, t in rows)
+    assert all(left[i] == t.split("\n") for i, t in rows[:25])
+    assert sum(x.startswith("run") for i in range(25, 100) for x in left[i]) <= 0.03 * planted
 
 
 def test_line_chunks(documents):

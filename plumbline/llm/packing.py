@@ -2,9 +2,10 @@
 
 Texts are tokenized once into pieces of at most ``SIZE`` ids; only the pieces' lengths reach the driver, as a histogram of at
 most ``SIZE`` bins. There the covering LP over configurations (multisets of lengths that fit one sequence) is solved by multiplicative
-weights: a length's price falls exponentially with its coverage, the next configuration is the one of the highest price, found by
-knapsack dynamic programming. Multiplicities are rounded within the counts, and what remains is placed best fit
-decreasing, on counts. Slots of the plan are dealt to pieces by their rank within their length; ranks are counted per (length,
+weights: a length's price falls exponentially with its coverage. One knapsack dynamic programme a round prices the best configuration
+through every length; those near the round's best are raised together, until every length is covered or no configuration that fills a
+sequence is left. Multiplicities are rounded within the counts, and what remains is placed best fit decreasing, on counts. If best fit of
+everything takes fewer sequences than that (the LP says little about a few pieces), it is taken instead. Slots of the plan are dealt to pieces by their rank within their length; ranks are counted per (length,
 bucket), so a length that most pieces share is spread over many buckets.
 
 Edge cases: null and empty texts are one piece, id 0 alone; rows repeated or without an id are packed row by row; an empty table
@@ -13,6 +14,7 @@ gives an empty result; extra columns are dropped. Pieces of ``SIZE`` ids fill a
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 from . import common
 
 SIZE, END_ID = 2048, 0
-#: Multiplicative weights: share of a length's count that a step covers, price decay, and the most steps.
-STEP, DECAY, STEPS = 0.2, 6.0, 500
+#: Multiplicative weights: share of a length's count that a step covers, price decay, how near a round's best price a configuration has to
+#: come to be raised, and the share of a sequence that it may leave empty.
+STEP, DECAY, LEAST_DECAY, NEAR, WASTE = 0.25, 0.5, 1e-3, 0.1, 1 / 1024
 #: Words kept with their ids by each Python worker, the longest kept, and pieces that share a ranking bucket.
 KEPT_WORDS, KEPT_BYTES, PER_BUCKET = 1_500_000, 40, 1_000_000
 #: Bytes of text tokenized together, and the character that parts new words.
@@ -157,8 +160,8 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFr
     return common.materialise(cut, "pieces")
 
 
-def knapsack(price: np.ndarray, size: int) -> tuple[float, list[int]]:
-    """The multiset of lengths, of at most ``size`` together, whose prices sum to the most. price[n]: of length n."""
+def priced(price: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each capacity, the most that lengths of it together are worth, and the length that was put in last (0: none)."""
     best, last = np.zeros(size + 1), np.zeros(size + 1, np.int64)
     lengths = np.flatnonzero(price[: size + 1] > 0)
     worth = price[lengths]
@@ -171,14 +174,25 @@ def knapsack(price: np.ndarray, size: int) -> tuple[float, list[int]]:
                 best[c], last[c] = value[j], lengths[j]
                 continue
         best[c] = best[c - 1]
-    found, c = [], size
+    return best, last
+
+
+def traced(last: np.ndarray, capacity: int) -> list[int]:
+    """The lengths behind the best of a capacity."""
+    found, c = [], capacity
     while c > 0:
         if last[c]:
             found.append(int(last[c]))
             c -= int(last[c])
         else:
             c -= 1
-    return float(best[size]), found
+    return found
+
+
+def knapsack(price: np.ndarray, size: int) -> tuple[float, list[int]]:
+    """The multiset of lengths, of at most ``size`` together, whose prices sum to the most. price[n]: of length n."""
+    best, last = priced(price, size)
+    return float(best[size]), traced(last, size)
 
 
 def solve(counts: dict[int, int], size: int) -> list[tuple[Counter, float]]:
@@ -186,20 +200,32 @@ def solve(counts: dict[int, int], size: int) -> list[tuple[Counter, float]]:
     n = np.zeros(size + 1)
     for length, count in counts.items():
         n[length] = count
-    there = n > 0
-    covered = np.zeros(size + 1)
+    covered = np.where(n > 0, 0.0, 1.0)
     share: dict[tuple, float] = defaultdict(float)
-    for _ in range(STEPS if there.any() else 0):
-        open_ = there & (covered < 1)
-        if not open_.any():
+    decay = DECAY
+    while (open_ := covered < 1).any():
+        price = np.where(open_, np.exp(-decay * covered) * np.arange(size + 1), 0.0)
+        best, last = priced(price, size)
+        lengths = np.flatnonzero(open_)
+        value = price[lengths] + best[size - lengths]
+        raised = False
+        for k in np.argsort(-value, kind="stable"):
+            if value[k] < (1 - NEAR) * best[size]:
+                break
+            own = Counter([int(lengths[k]), *traced(last, size - int(lengths[k]))])
+            if size - sum(i * a for i, a in own.items()) > WASTE * size:
+                continue
+            step = min(min(max(STEP * n[i], 1.0), (1 - covered[i]) * n[i]) / a for i, a in own.items())
+            if step <= 1e-9:
+                continue
+            share[tuple(sorted(own.elements(), reverse=True))] += step
+            for i, a in own.items():
+                covered[i] += a * step / n[i]
+                covered[i] = 1.0 if covered[i] > 1 - 1e-9 else covered[i]
+            raised = True
+        if not raised and decay < LEAST_DECAY:
             break
-        price = np.where(open_, np.exp(-DECAY * covered) * np.arange(size + 1) * (1 + 0.05 * np.log1p(n) / np.log1p(n.max())), 0.0)
-        _, found = knapsack(price, size)
-        own = Counter(found)
-        step = min(min(STEP, 1 - covered[i]) * n[i] / a for i, a in own.items())
-        share[tuple(sorted(found, reverse=True))] += step
-        for i, a in own.items():
-            covered[i] = min(1.0, covered[i] + a * step / n[i] + 1e-12)
+        decay = decay if raised else decay / 2  # the weights' rate falls as the prices close in on those of a full sequence
     return [(Counter(k), x) for k, x in share.items()]
 
 
@@ -236,21 +262,23 @@ def best_fit(left: dict[int, int], size: int) -> list[tuple[Counter, int]]:
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[Counter, int]]:
     """Whole multiplicities of configurations that hold exactly ``counts``. Lengths of ``size`` are left out."""
-    left = {k: v for k, v in counts.items() if v and k < size}
+    whole = {k: v for k, v in counts.items() if v and k < size}
+    left = dict(whole)
     out = []
-    solved = solve(left, size)
-    for round_ in (int, lambda x: int(x + 0.5)):  # floors first, then halves upward, never beyond the counts
+    solved = solve(whole, size)
+    for round_ in (int, lambda x: int(x + 0.5), math.ceil):  # floors first, then halves and the rest upward, never beyond the counts
         rest = []
         for own, x in sorted(solved, key=lambda p: (-p[1], sorted(p[0].items()))):
-            waste = size - sum(k * a for k, a in own.items())
-            times = min(round_(x), *[left[k] // a for k, a in own.items()]) if waste <= size // 256 else 0
+            times = min(max(0, round_(x - 1e-9)), *[left[k] // a for k, a in own.items()])
             if times > 0:
                 out.append((own, times))
                 for k, a in own.items():
                     left[k] -= a * times
             rest.append((own, x - times))
         solved = rest
-    return out + best_fit({k: v for k, v in left.items() if v}, size)
+    out += best_fit({k: v for k, v in left.items() if v}, size)
+    plain = best_fit(whole, size)
+    return min(out, plain, key=lambda p: sum(times for _, times in p))  # the first if they are equal
 
 
 def slots(found: list[tuple[Counter, int]]) -> np.ndarray:

@@ -459,6 +459,16 @@ def test_plans_hold_all_pieces(seed):
     assert sum(t for _, t in found) <= math.ceil(sum(k * n for k, n in counts.items()) / 64) * 1.03 + 1
 
 
+def test_plans_come_near_the_bound():
+    """Three pieces a sequence: best fit decreasing alone is a tenth over the bound, configurations are not; uniform lengths at scale."""
+    rng = np.random.default_rng(0)
+    for lengths, most in ((rng.integers(600, 760, 200_000), 1.006), (rng.integers(1, 2048, 1_000_000), 1.0012)):
+        counts = {int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
+        bins = sum(n for _, n in packing.plan(counts))
+        assert math.ceil(lengths.sum() / 2048) <= bins <= most * lengths.sum() / 2048
+        assert bins <= sum(n for _, n in packing.best_fit(counts, 2048))
+
+
 def test_knapsack():
     price = np.zeros(11)
     price[[3, 4, 5]] = [3.1, 4.0, 5.6]

@@ -2,8 +2,10 @@
 
 N-grams of the training documents are counted in segments of their hashes. A count c is quantised to the level
 ``1 + floor(log_BASE c)`` and the n-gram enters its segment's Bloom filter once for each level up to its own; asking levels in
-turn until one is missing reads the quantised count back. The filters of all segments are broadcast: ``BITS`` bits an entry
-up to the fixed ceiling ``MOST_FILTER``, beyond which only the rate of false levels rises.
+turn until one is missing reads the quantised count back; no more levels are asked than the largest count has. Filters always have ``BITS`` bits
+an entry, so the rate of false levels (about 1 % a level) does not depend on the size of the corpus. The words' filter is broadcast whole. The
+pairs' filter is broadcast whole up to ``MOST_FILTER`` bytes; a larger one goes out in groups of segments of that size, one pass over the
+texts a group, and a pass adds the tokens whose pair belongs to its group. Passes give the same score as one filter would.
 
 Probabilities are those of a bigram model with a Witten-Bell escape: ``P(w|h) = ((1-r) c(hw) + (1 + r c(h)) P1(w)) / (1 + c(h))``, r the
 share of new types among training bigrams, and P1 add-half unigrams; all c are read from the filter. A text starts and ends
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -75,17 +78,23 @@ def _places(low: np.ndarray, order: int, level: np.ndarray | int, words: np.ndar
 
 
 class Filter:
-    """All segments' filters in one array of 64-bit words; ``first`` has where each starts, and the end."""
+    """Segments' filters in one array of 64-bit words; ``first`` has where each starts, and the end. ``most``: the highest level stored."""
 
-    def __init__(self, words: np.ndarray, first: np.ndarray):
-        self.words, self.first, self.n = words, first, len(first) - 1
+    def __init__(self, words: np.ndarray, first: np.ndarray, most: int):
+        self.words, self.first, self.n, self.most = words, first, len(first) - 1, most
+
+    @classmethod
+    def of(cls, parts: dict[int, bytes], n: int, most: int) -> Filter:
+        """The filter of some of ``n`` segments; the others hold nothing."""
+        own = [np.frombuffer(parts.get(k, b""), np.uint64) for k in range(n)]
+        return cls(np.concatenate([np.zeros(0, np.uint64), *own]), np.r_[0, np.cumsum([len(x) for x in own])], most)
 
     def levels(self, h: np.ndarray, order: int) -> np.ndarray:
         segment = common.segment_of(h, self.n)
         base, size = self.first[segment], self.first[segment + 1] - self.first[segment]
         low = h & np.uint64(0xFFFFFFFF)
         out, left, level = np.zeros(len(h), np.int64), np.flatnonzero(size > 0), 1
-        while len(left):
+        while len(left) and level <= self.most:
             at, bits = _places(low[left], order, level, size[left])
             left = left[self.words[base[left] + at] & bits == bits]
             out[left] = level
@@ -138,43 +147,87 @@ def _summed(t: pa.Table, once: str, more: str, count: str, kind: str) -> tuple[n
 
 
 def _tallied(n: int):
-    """A segment's exact word counts, its share of the most frequent words, and its filter."""
+    """A segment's exact word counts, its share of the most frequent words, and its filters."""
+
+    def built(low: np.ndarray, order: int, q: np.ndarray) -> bytes:
+        size = int(q.sum()) * BITS // 64 + 1
+        own = np.zeros(size, np.uint64)
+        for level in range(1, int(q.max(initial=0)) + 1):
+            at, bits = _places(low[q >= level], order, level, size)
+            np.bitwise_or.at(own, at, bits)
+        return own.tobytes()
 
     def run(t: pa.Table) -> pa.Table:
         words, counts = _summed(t, *PARTS[:3], "<u8")
         pairs, pair_counts = _summed(t, *PARTS[3:], "<u4")
-        entries = [(words & np.uint64(0xFFFFFFFF), 1, levels(counts)), (pairs.astype(np.uint64), 2, levels(pair_counts))]
-        size = min(sum(int(q.sum()) for _, _, q in entries) * BITS // 64 + 1, MOST_FILTER // 8 // n)
-        own = np.zeros(size, np.uint64)
-        for low, order, q in entries:
-            for level in range(1, int(q.max(initial=0)) + 1):
-                at, bits = _places(low[q >= level], order, level, size)
-                np.bitwise_or.at(own, at, bits)
+        word_filter = built(words & np.uint64(0xFFFFFFFF), 1, levels(counts))
+        pair_filter = built(pairs.astype(np.uint64), 2, levels(pair_counts))
         top = np.argsort(-counts, kind="stable")[: 2 * HEAD // n + 1]
-        values = [t.column("segment")[0].as_py(), words.tobytes(), counts.astype("<i8").tobytes(), words[top].tobytes(), counts[top].astype("<i8").tobytes(), own.tobytes(), len(words), int(counts.sum()), len(pairs), int(pair_counts.sum())]
+        values = [t.column("segment")[0].as_py(), words.tobytes(), counts.astype("<i8").tobytes(), words[top].tobytes(), counts[top].astype("<i8").tobytes(), word_filter, pair_filter, len(pair_filter), int(levels(np.r_[1, counts, pair_counts]).max()), len(words), int(counts.sum()), len(pairs), int(pair_counts.sum())]
         return pa.Table.from_pydict({f.name: pa.array([v], f.type) for f, v in zip(TALLY, values, strict=True)})
 
     return run
 
 
-TALLY = pa.schema([("segment", pa.int32()), *[(k, pa.binary()) for k in ("hashes", "counts", "top", "top_counts", "filter")], *[(k, pa.int64()) for k in ("types", "tokens", "pair_types", "pair_tokens")]])
-TALLY_SQL = "segment int, hashes binary, counts binary, top binary, top_counts binary, filter binary, types long, tokens long, pair_types long, pair_tokens long"
-ROWS_SQL = "part int, place int, doc_id {}, held_out boolean, n_tokens long, n_known long, base_score double, score double, segment int, hashes binary, places binary"
+TALLY = pa.schema([("segment", pa.int32()), *[(k, pa.binary()) for k in ("hashes", "counts", "top", "top_counts", "words", "pairs")], *[(k, pa.int64()) for k in ("pair_bytes", "most", "types", "tokens", "pair_types", "pair_tokens")]])
+TALLY_SQL = "segment int, hashes binary, counts binary, top binary, top_counts binary, words binary, pairs binary, pair_bytes long, most long, types long, tokens long, pair_types long, pair_tokens long"
+ROWS_SQL = "part int, place int, key long, doc_id {}, held_out boolean, n_tokens long, n_known long, base_score double, score double, segment int, hashes binary, places binary"
 
 
 def _base(c: np.ndarray, tokens: int, types: int) -> np.ndarray:
     return np.log10((c + 0.5) / (tokens + 0.5 * (types + 1)))
 
 
+def _log_p(m: dict, h: np.ndarray, end: np.uint64, word: np.ndarray) -> np.ndarray:
+    """log10 probabilities of tokens whose pair is in the model's group of segments, 0 for the others. word: their counts by the filter."""
+    pairs = bigrams(h, end)
+    own = m["owned"][common.segment_of(pairs, m["pairs"].n)]
+    before = np.r_[word[-1:], word[:-1]][own]  # the last token is an end
+    first = (word[own] + 0.5) / (m["tokens"] + 0.5 * (m["types"] + 1))
+    pair = decoded(m["pairs"].levels(pairs[own], 2))
+    out = np.zeros(len(h))
+    out[own] = np.log10(((1 - m["escape"]) * np.minimum(pair, before) + (1 + m["escape"] * before) * first) / (1 + before))
+    return out
+
+
+def _held(texts) -> Iterator[list[list[bytes]]]:
+    """Runs of texts of about ``TOGETHER`` tokens, each as its words and the end token."""
+    held, n = [], 0
+    for text in texts:
+        held.append([*common.lower_words(text.as_py()), END])
+        n += len(held[-1])
+        if n >= TOGETHER:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def _more(shared):
+    """A further pass: what the tokens of another group of segments add to each row's score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, end = shared.value, common.word_hashes([END])
+        table = common.WordTable(lambda words: np.stack([h := common.word_hashes(words), m["words"].levels(h, 1).astype(np.uint64)], axis=1), 300_000)
+        for b in batches:
+            sums = []
+            for texts in _held(b.column("text")):
+                h, level = table.of([w for x in texts for w in x]).T
+                p = _log_p(m, h, end[0], decoded(level.astype(np.int64)))
+                sums.append(np.add.reduceat(p, np.cumsum([0, *[len(x) for x in texts[:-1]]])))
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(np.concatenate([np.zeros(0), *sums]))], names=["key", "more"])
+
+    return run
+
+
 def _scored(n: int, shared):
     """A row for each document, without the share of its rare tokens, and those tokens' hashes packed by segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        filter_ = Filter(m["filter"], m["first"])
         end = common.word_hashes([END])
         part, place = TaskContext.get().partitionId(), 0
-        escape, tokens, types = m["escape"], m["tokens"], m["types"]
+        tokens, types = m["tokens"], m["types"]
         names = [x.split()[0] for x in ROWS_SQL.split(", ")]
         wanted: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -185,7 +238,7 @@ def _scored(n: int, shared):
             order = np.argsort(segment, kind="stable")
             found = list(common.split_sorted(segment[order], n))
             h, at, k = h[order].astype("<u8"), at[order].astype("<u4"), len(found)
-            cols = [pa.array([part] * k, pa.int32()), *[pa.nulls(k, t) for t in kinds[1:8]], pa.array([s for s, _ in found], pa.int32()), *[pa.array([x[w].tobytes() for _, w in found], pa.binary()) for x in (h, at)]]
+            cols = [pa.array([part] * k, pa.int32()), *[pa.nulls(k, t) for t in kinds[1:9]], pa.array([s for s, _ in found], pa.int32()), *[pa.array([x[w].tobytes() for _, w in found], pa.binary()) for x in (h, at)]]
             return pa.RecordBatch.from_arrays(cols, names=names)
 
         def learnt(words: list[bytes]) -> np.ndarray:
@@ -196,7 +249,7 @@ def _scored(n: int, shared):
             base = np.full(len(h), np.nan)
             if len(m["head"]):
                 base = np.where(m["head"][at] == h, _base(m["head_counts"][at], tokens, types), np.nan)
-            return np.stack([h, filter_.levels(h, 1).astype(np.uint64), base.view(np.uint64)], axis=1)
+            return np.stack([h, m["words"].levels(h, 1).astype(np.uint64), base.view(np.uint64)], axis=1)
 
         table = common.WordTable(learnt, 300_000)
 
@@ -205,35 +258,24 @@ def _scored(n: int, shared):
             starts = np.cumsum([0, *[len(x) for x in texts[:-1]]])
             h, level, base = table.of([w for x in texts for w in x]).T
             word, base = decoded(level.astype(np.int64)), base.copy().view(np.float64)
-            first = (word + 0.5) / (tokens + 0.5 * (types + 1))
-            before = np.r_[word[-1:], word[:-1]]  # the last token is an end
-            pair = decoded(filter_.levels(bigrams(h, end[0]), 2))
-            p = ((1 - escape) * np.minimum(pair, before) + (1 + escape * before) * first) / (1 + before)
+            p = _log_p(m, h, end[0], word)
             rare = np.isnan(base)
             if rare.any():
                 wanted.append((h[rare], (place + np.repeat(np.arange(len(texts)), [len(x) for x in texts]))[rare]))
-            sums = [np.add.reduceat(x, starts) for x in ((~rare).astype(np.int64), np.where(rare, 0.0, base), np.log10(p))]
+            sums = [np.add.reduceat(x, starts) for x in ((~rare).astype(np.int64), np.where(rare, 0.0, base), p)]
             return [(len(x), *row) for x, *row in zip(texts, *[s.tolist() for s in sums], strict=True)]
 
         kinds: list[pa.DataType] = []
         for b in batches:
-            kinds = [pa.int32(), pa.int32(), b.column("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), b.column("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             out: list[tuple] = []
-            held: list[list[bytes]] = []
-            n_held = 0
-            for text in b.column("text"):
-                held.append([*common.lower_words(text.as_py()), END])
-                n_held += len(held[-1])
-                if n_held >= TOGETHER:
-                    out += scored(held, place + len(out))
-                    held, n_held = [], 0
-            if held:
+            for held in _held(b.column("text")):
                 out += scored(held, place + len(out))
             size = sum(len(x[0]) for x in wanted)
             k = len(out)
             cols = list(zip(*out, strict=True)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * k, pa.int32()), pa.array(range(place, place + k), pa.int32()), b.column("doc_id"), b.column("held_out"), *[pa.array(c, t) for c, t in zip(cols, kinds[4:], strict=True)], pa.nulls(k, pa.int32()), *[pa.nulls(k, pa.binary())] * 2],
+                [pa.array([part] * k, pa.int32()), pa.array(range(place, place + k), pa.int32()), b.column("key"), b.column("doc_id"), b.column("held_out"), *[pa.array(c, t) for c, t in zip(cols, kinds[5:], strict=True)], pa.nulls(k, pa.int32()), *[pa.nulls(k, pa.binary())] * 2],
                 names=names,
             )
             place += k
@@ -283,33 +325,62 @@ def _finished(rows: pa.Table, answers: pa.Table) -> pa.Table:
     return kept.set_column(kept.schema.get_field_index("base_score"), "base_score", pa.array(rows.column("base_score").to_numpy() + sums[place]))
 
 
+def grouped(sizes: dict[int, int]) -> list[list[int]]:
+    """Segments in groups whose pair filters together take ``MOST_FILTER`` bytes at most (a segment that takes more is alone)."""
+    out: list[list[int]] = []
+    room = 0
+    for segment, size in sorted(sizes.items()):
+        if not out or size > room:
+            out.append([])
+            room = MOST_FILTER
+        out[-1].append(segment)
+        room -= size
+    return out or [[]]
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Contract rows: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     n = common.spread(docs)
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     counted = rows.filter("NOT held_out").select("text").mapInArrow(_counted(n), "segment int, " + ", ".join(f"{x} binary" for x in PARTS))
     tally = common.materialise(counted.groupBy("segment").applyInArrow(_tallied(n), TALLY_SQL), "ngrams")
-    filters, sizes = [np.zeros(0, np.uint64)] * n, np.zeros(n, np.int64)
-    heads = []
+    words, sizes, heads = {}, {}, []
     totals = dict.fromkeys(("types", "tokens", "pair_types", "pair_tokens"), 0)
-    for r in tally.drop("hashes", "counts").toLocalIterator():  # MOST_FILTER bytes and 2 * HEAD words at most
-        filters[r["segment"]] = np.frombuffer(r["filter"], np.uint64)
-        sizes[r["segment"]] = len(filters[r["segment"]])
+    most = 1
+    for r in tally.drop("hashes", "counts", "pairs").toLocalIterator():  # 14 bits a word and level, and 2 * HEAD words at most
+        words[r["segment"]], sizes[r["segment"]] = r["words"], r["pair_bytes"]
         heads.append((np.frombuffer(r["top"], "<u8"), np.frombuffer(r["top_counts"], "<i8")))
+        most = max(most, r["most"])
         for k in totals:
             totals[k] += r[k]
     head, counts = (np.concatenate(x) for x in zip(*heads, strict=True)) if heads else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     top = np.argsort(-counts, kind="stable")[:HEAD]
     top = top[np.argsort(head[top])]
-    model = totals | {"filter": np.concatenate(filters), "first": np.r_[0, np.cumsum(sizes)], "head": head[top], "head_counts": counts[top], "escape": totals["pair_types"] / max(1, totals["pair_tokens"])}
-    del filters
-    shared = spark.sparkContext.broadcast(model)
+    model = totals | {"words": Filter.of(words, n, most), "head": head[top], "head_counts": counts[top], "escape": totals["pair_types"] / max(1, totals["pair_tokens"])}
+    groups = grouped(sizes)
+
+    def shared(k: int):
+        """The model with the ``k``th group's pair filter; segments without any pair belong to the first group."""
+        own = {r["segment"]: r["pairs"] for r in tally.filter(F.col("segment").isin(groups[k])).select("segment", "pairs").toLocalIterator()}  # MOST_FILTER bytes
+        owned = np.isin(np.arange(n), groups[k]) | ((k == 0) & ~np.isin(np.arange(n), list(sizes)))
+        return spark.sparkContext.broadcast(model | {"pairs": Filter.of(own, n, most), "owned": owned})
+
+    if len(groups) > 1:
+        rows = common.materialise(rows, "lm-texts")  # rows keep their keys from pass to pass
     kind = docs.schema["doc_id"].dataType.simpleString()
-    both = common.materialise(rows.mapInArrow(_scored(n, shared), ROWS_SQL.format(kind)), "lm-rows")
+    both = common.materialise(rows.mapInArrow(_scored(n, shared(0)), ROWS_SQL.format(kind)), "lm-rows")
+    passes = []
+    for k in range(1, len(groups)):
+        own = shared(k)
+        passes.append(common.materialise(rows.select("key", "text").mapInArrow(_more(own), "key long, more double"), "lm-pass"))
+        own.destroy()
     asked = both.filter("segment IS NOT NULL").select("segment", "part", "hashes", "places")
     answers = asked.groupBy("segment").cogroup(tally.select("segment", "hashes", "counts").groupBy("segment"))
     answers = answers.applyInArrow(_answered(totals["tokens"], totals["types"]), "part int, places binary, sums binary, known binary")
-    own = both.filter("segment IS NULL").select("part", "place", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")
-    final = own.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_finished, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    own = both.filter("segment IS NULL").select("part", "place", "key", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")
+    final = own.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_finished, f"key long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    if passes:
+        more = reduce(DataFrame.union, passes).groupBy("key").agg(F.sum("more").alias("more"))
+        final = final.join(more, "key").withColumn("score", F.col("score") + F.col("more"))
     return final.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")

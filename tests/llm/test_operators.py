@@ -285,6 +285,38 @@ def test_base_scores(spark, sf_dir, monkeypatch, head):
     assert np.mean(better) > 0.8
 
 
+@pytest.mark.parametrize("most", [256 << 20, 20_000])
+def test_scores_of_the_model(spark, sf_dir, monkeypatch, most):
+    """Scores by exact quantised counts, with the pairs' filter in one group and in many."""
+    monkeypatch.setattr(lm_scoring, "MOST_FILTER", most)
+    docs = rows_of(spark, sf_dir)
+    rows = [(r["doc_id"], [*WORD.findall(lowered(r["text"])), "\n"]) for r in docs.select("doc_id", "text").collect()]
+    words, pairs = Counter(), Counter()
+    for i, x in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            words.update(x)
+            pairs.update(zip(["\n", *x[:-1]], x, strict=True))
+    n, v, escape = words.total(), len(words), len(pairs) / pairs.total()
+    read = lambda c: float(lm_scoring.decoded(lm_scoring.levels(np.array([c])))[0]) if c else 0.0
+
+    def slow(x):
+        out = 0.0
+        for a, b in zip(["\n", *x[:-1]], x, strict=True):
+            before, own, pair = read(words[a]), read(words[b]), read(pairs[a, b])
+            out += math.log10(((1 - escape) * min(pair, before) + (1 + escape * before) * (own + 0.5) / (n + 0.5 * (v + 1))) / (1 + before))
+        return out
+
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs).collect()}
+    apart = [abs(got[i] / slow(x) - 1) for i, x in rows]  # a false level now and then
+    assert np.median(apart) < 0.005 and np.quantile(apart, 0.95) < 0.02
+
+
+def test_filters_stop_at_the_highest_level():
+    """A filter that is full says yes to everything; no more levels are asked than were stored."""
+    full = lm_scoring.Filter(np.full(4, 2**64 - 1, np.uint64), np.array([0, 4]), 9)
+    assert (full.levels(np.arange(1, 50, dtype=np.uint64) << np.uint64(33), 2) == 9).all()
+
+
 def test_quantised_counts():
     levels = lm_scoring.levels(np.arange(1, 2000))
     assert (np.diff(levels) >= 0).all() and levels[0] == 1

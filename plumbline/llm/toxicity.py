@@ -1,15 +1,17 @@
 """Operator 3, toxicity by class-conditional Kneser-Ney models.
 
 For each class (toxic, ordinary) a word's Kneser-Ney continuation count is the number of distinct pairs of words it follows in
-that class's training texts; a text copied a hundred times counts once. Counts are discounted and interpolated with backoff
-counts shared by both classes, which get the weight ``SHARED``:
+that class's training texts; a text copied a hundred times counts once. The class is the history of an interpolated Kneser-Ney model, whose
+lower order is the continuation counts P(w) of both classes together:
 
-    P_c(w) = (1 - SHARED) max(n_c(w) - D, 0) / N_c + SHARED P(w),  D = max(LEAST_DISCOUNT, GROWTH sqrt(N_toxic))
+    P_c(w) = (max(n_c(w) - D, 0) + (M_c + S N_c) P(w)) / ((1 + S) N_c)
 
-so an expression too rare in both classes is judged by the shared counts alone and speaks for neither. A text's measure is
-the difference of its two log-likelihoods divided by its words; the increasing curve that best fits training rows
-which were not counted turns it into a probability. A class-conditional bigram level on top was measured and left out: on
-check_s it lowered the area under the curve from 0.97 to 0.76, because contexts here are mostly words seen once.
+N_c is the class's count, M_c the mass that discounting takes from it (so probabilities sum to one), and S the strength that the Bayesian
+reading of interpolated Kneser-Ney (a hierarchical Pitman-Yor process) has besides the discount; S = 0 is the plain form. An expression too rare
+in both classes is judged by the shared counts alone and speaks for neither. A text's measure is the difference of its two
+log-likelihoods divided by its words. D and S are those of ``SETTINGS`` that rank the rows set apart best (area under the curve); the increasing
+curve that best fits these rows turns the measure into a probability. A bigram level below the class was measured and ranks held-out rows worse
+with any of its discounts (contexts are mostly words seen once), so there is none.
 
 Bounds: ``SAMPLE`` labelled rows of each class are learnt from, drawn by hash of the id, as whole texts.
 
@@ -32,7 +34,10 @@ from .lm_scoring import END, MIX, bigrams, mixed
 
 DIVISOR, HELD = 4, 2
 SAMPLE = {0: 40_000, 1: 10_000}
-LEAST_DISCOUNT, GROWTH, SHARED, THRESHOLD = 2.0, 0.02, 0.99, 0.3
+THRESHOLD = 0.3
+#: Discounts and strengths to choose from; counts up to the least discount weigh nothing in either class.
+LEAST_DISCOUNT = 2.0
+SETTINGS = [(d, s) for d in (LEAST_DISCOUNT, 5.0, 15.0) for s in (0.0, 10.0, 100.0, 1000.0)]
 #: Of the rows learnt from, those of this remainder fit the curve and are not counted.
 CURVE = 3
 FLUSH = 2_000_000
@@ -88,16 +93,53 @@ def _continued(t: pa.Table) -> pa.Table:
     heard = (own[0] > LEAST_DISCOUNT) | (own[1] > LEAST_DISCOUNT)  # the others weigh alike in both classes
     cols = [words[heard].astype("<u8"), both[heard].astype("<i8"), *[o[heard].astype("<i8") for o in own]]
     row = [pa.array([x.tobytes()], pa.binary()) for x in cols]
-    return pa.Table.from_arrays([*row, pa.array([len(words)], pa.int64()), pa.array([int(both.sum())], pa.int64())], names=["word", "both", "ordinary", "toxic", "types", "pairs"])
+    sums = [pa.array([int(x)], pa.int64()) for x in (len(words), both.sum(), own[0].sum(), own[1].sum())]
+    return pa.Table.from_arrays([*row, *sums], names=["word", "both", "ordinary", "toxic", "types", "pairs", "ordinary_pairs", "toxic_pairs"])
 
 
-def _measure(text: str | None, table: common.WordTable, words: np.ndarray, weight: np.ndarray) -> float:
+def probabilities(own: np.ndarray, total: float, shared: np.ndarray, discount: float, strength: float) -> tuple[np.ndarray, float]:
+    """A class's probabilities of words with counts ``own`` out of ``total`` and shared probabilities ``shared``, and the weight that any
+    other word's shared probability gets."""
+    left = np.maximum(own - discount, 0)
+    backoff = (total - left.sum() + strength * total) / ((1 + strength) * total)
+    return left / ((1 + strength) * total) + backoff * shared, backoff
+
+
+def weights(own: list[np.ndarray], totals: list[float], shared: np.ndarray, discount: float, strength: float) -> np.ndarray:
+    """Log ratios of words, less that of words which neither class has kept (a constant that shifts all texts alike)."""
+    (p0, b0), (p1, b1) = (probabilities(o, n, shared, discount, strength) for o, n in zip(own, totals, strict=True))
+    return np.log(p1 / p0) - np.log(b1 / b0)
+
+
+def ranking(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """Area under the curve: the weighted share of (toxic, ordinary) rows in the right order, ties half."""
+    u, at = np.unique(x, return_inverse=True)
+    ordinary, toxic = (np.bincount(at, weight * (y == c), len(u)) for c in (0, 1))
+    pairs = ordinary.sum() * toxic.sum()
+    return float((toxic * (np.cumsum(ordinary) - ordinary / 2)).sum() / pairs) if pairs else 0.5
+
+
+def _measure(text: str | None, table: common.WordTable, words: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A text's mean weight, by each row of ``weight``."""
     h = table.of(common.lower_words(text))
     if not len(h) or not len(words):
-        return 0.0
+        return np.zeros(len(weight))
     at = np.searchsorted(words, h)
     at[at == len(words)] = 0
-    return float(np.where(words[at] == h, weight[at], 0.0).sum() / len(h))
+    return weight[:, at[words[at] == h]].sum(axis=1) / len(h)
+
+
+def _measures(shared):
+    """Measures by all settings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, weight = shared.value
+        table = common.WordTable(common.word_hashes)
+        for b in batches:
+            out = [_measure(x.as_py(), table, words, weight) for x in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("__rate"), pa.array([x.tolist() for x in out], pa.list_(pa.float64()))], names=["label", "__rate", "measures"])
+
+    return run
 
 
 def _measured(shared):
@@ -107,7 +149,7 @@ def _measured(shared):
         words, weight, *knots = shared.value
         table = common.WordTable(common.word_hashes)
         for b in batches:
-            out = np.array([_measure(x.as_py(), table, words, weight) for x in b.column("text")])
+            out = np.array([_measure(x.as_py(), table, words, weight)[0] for x in b.column("text")])
             if knots:
                 middle, share, scale = knots
                 out = 0.999 * np.interp(out, middle, share) + 0.001 / (1 + np.exp(-np.clip(out / scale, -30, 30)))
@@ -137,7 +179,7 @@ def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-    """Words' hashes and log ratios, the curve's knots, and the measure's scale."""
+    """Words' hashes and log ratios (one row), the curve's knots, and the measure's scale."""
     spark = docs.sparkSession
     n = common.spread(docs, 64)  # of a bounded sample
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label"))
@@ -146,22 +188,22 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, n
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most the sample's rows
     fits = common.crc_mod(F.col("doc_id"), DIVISOR) == CURVE
     counted = texts.filter(~fits).select("label", "text").mapInArrow(_pairs(n), "segment int, label binary, word binary, pair binary")
-    rows = counted.groupBy("segment").applyInArrow(_continued, "word binary, both binary, ordinary binary, toxic binary, types long, pairs long").collect()
+    kinds = "word binary, both binary, ordinary binary, toxic binary, types long, pairs long, ordinary_pairs long, toxic_pairs long"
+    rows = counted.groupBy("segment").applyInArrow(_continued, kinds).collect()
     raw = lambda c, d: np.concatenate([np.frombuffer(r[c], d) for r in rows]) if rows else np.zeros(0, d)
     words, both = raw("word", "<u8"), raw("both", "<i8")
     own = [raw(c, "<i8") for c in ("ordinary", "toxic")]
-    discount = max(LEAST_DISCOUNT, GROWTH * float(own[1].sum()) ** 0.5)
-    own = [np.maximum(o - discount, 0) for o in own]
-    types, pairs = sum(r["types"] for r in rows), sum(r["pairs"] for r in rows)
-    shared = SHARED * (both + 0.5) / (pairs + 0.5 * (types + 1))
-    p = [(1 - SHARED) * o / max(1.0, o.sum()) + shared for o in own]
-    weight = np.log(p[1] / p[0]) if all(o.sum() > 0 for o in own) else np.zeros(len(words))
+    types, pairs, *totals = (sum(r[c] for r in rows) for c in ("types", "pairs", "ordinary_pairs", "toxic_pairs"))
+    lower = (both + 0.5) / (pairs + 0.5 * (types + 1))
+    heard = all(o.any() for o in own)
+    table = np.stack([weights(own, totals, lower, *x) if heard else np.zeros(len(words)) for x in SETTINGS])
     order = np.argsort(words)
-    words, weight = words[order], weight[order]
-    fit = texts.filter(fits).select("label", "__rate", "text").mapInArrow(_measured(spark.sparkContext.broadcast((words, weight))), "label int, __rate double, measure double").toPandas()
-    x = fit["measure"].to_numpy(float)
-    knots = curve(x, fit["label"].to_numpy(float), 1 / fit["__rate"].to_numpy(float))
-    return words, weight, *knots, float(x.std()) if len(x) > 1 and x.std() > 0 else 1.0
+    words, table = words[order], table[:, order]
+    fit = texts.filter(fits).select("label", "__rate", "text").mapInArrow(_measures(spark.sparkContext.broadcast((words, table))), "label int, __rate double, measures array<double>").toPandas()
+    x, y, weight = np.array(fit["measures"].tolist(), float).reshape(-1, len(SETTINGS)), fit["label"].to_numpy(float), 1 / fit["__rate"].to_numpy(float)
+    best = int(np.argmax([ranking(x[:, k], y, weight) for k in range(len(SETTINGS))]))  # the first if they are equal
+    x = x[:, best]
+    return words, table[best : best + 1], *curve(x, y, weight), float(x.std()) if len(x) > 1 and x.std() > 0 else 1.0
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

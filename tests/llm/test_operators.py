@@ -167,6 +167,26 @@ def test_toxicity(spark, documents):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in out.values())
 
 
+def test_class_probabilities_sum_to_one():
+    rng = np.random.default_rng(3)
+    own = [rng.integers(0, 40, 500), rng.integers(0, 9, 500)]
+    both = own[0] + own[1] + 1
+    lower = both / both.sum()
+    for discount, strength in toxicity.SETTINGS:
+        for o in own:
+            p, backoff = toxicity.probabilities(o, o.sum(), lower, discount, strength)
+            assert abs(p.sum() - 1) < 1e-9 and (p > 0).all() and 0 < backoff <= 1
+            by_hand = [(max(n - discount, 0) + (sum(min(k, discount) for k in o) + strength * o.sum()) * s) / ((1 + strength) * o.sum()) for n, s in zip(o, lower)]
+            assert np.allclose(p, by_hand)
+        w = toxicity.weights(own, [o.sum() for o in own], lower, discount, strength)
+        assert np.allclose(w[(own[0] <= discount) & (own[1] <= discount)], 0)
+
+
+def test_ranking():
+    x, y = np.array([0.1, 0.4, 0.4, 0.9]), np.array([0, 1, 0, 1])
+    assert toxicity.ranking(x, y, np.ones(4)) == pytest.approx(3.5 / 4) and toxicity.ranking(x, np.zeros(4), np.ones(4)) == 0.5
+
+
 def test_labels_do_not_leak(spark, documents):
     docs = documents([(i, f"a{i % 7} b{i % 5} c") for i in range(200)])
     make = lambda flip: spark.createDataFrame([(i, 1, (i % 3 == 0) ^ (flip and zlib.crc32(str(i).encode()) % 4 == 2)) for i in range(200)], "doc_id long, quality long, toxic boolean").selectExpr("doc_id", "quality", "cast(toxic as int) toxic")

@@ -1,19 +1,21 @@
 """Operator 1, HTML extraction by nearest-URL page differencing.
 
-Pages are read into lines (one a block element). Within a host, in order of URL path, each page is paired with its nearest
-neighbours; the lines of a pair are aligned by longest common subsequence, and shared lines, which belong to the site and not
-to the page, are deleted. What the markup itself declares not to be the article (navigation, headers, footers, asides, forms,
-adverts, notices, reader comments) goes beforehand, since such parts need not repeat from page to page.
+Pages are read into lines (one a block element), all but those of scripts, styles and the like. Within a host, in order of URL path, each
+page is paired with its nearest neighbours; the lines of a pair are aligned by longest common subsequence, and shared lines, which belong to
+the site and not to the page, are deleted. What differs from page to page and yet is no part of the article (menus that mark the page
+they are on, adverts, notices, reader comments) is told by what the markup itself declares: lines of such parts are left out of what
+differencing leaves.
 
-Two rules keep articles whole. A pair that shares half the prose of either page is a copy, not a template, and deletes nothing. Inside a
-declared article only lines of two words or more, but under ``PROSE``, that both neighbours share are deleted.
+Two rules keep articles whole. A pair that shares half the prose of either page (declared parts apart) is a copy, not a template, and deletes
+nothing there. Inside a declared article only lines of two words or more, but under ``PROSE``, that both neighbours share are deleted.
 
 Blocks: text runs over inline tags without a gap; ``<br>`` and table cells part words only; character references are decoded; white space
 is turned into single spaces.
 
 Edge cases: null and empty pages give an empty text; null URLs share a host of their own; repeated rows give equal results;
-pages without article or main element are read from their whole body; unclosed elements end with their parent or the page; an empty
-table gives an empty result. Extra columns are dropped.
+pages without article or main element are read from their whole body; a declared part that is never closed ends where an article or
+main element begins; other unclosed elements end with their parent or the page; very long pages are aligned in memory that grows with their
+lines, not with the square; an empty table gives an empty result. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from . import common
 
 #: Words that make a line prose, and the share of a page's prose that makes a pair copies.
 PROSE, COPY = 8, 0.5
+#: Bits of alignment rows that are kept at once.
+MOST_BITS = 1 << 26
 TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>""",
     re.S,
@@ -62,6 +66,24 @@ class Part:
         self.name, self.depth, self.talk = name, 1, talk
 
 
+class Closings:
+    """Which elements of a page are closed, by the place after their opening tag; each name is looked through once, when it is asked for."""
+
+    def __init__(self, html: str):
+        self.html, self.closed = html, {}
+
+    def has(self, name: str, at: int) -> bool:
+        if name not in self.closed:
+            found, open_ = set(), []
+            for m in re.finditer(rf"<(/?){name}(?![a-z0-9:-])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", self.html, re.I):
+                if not m[1]:
+                    open_.append(m.end())
+                elif open_:
+                    found.add(open_.pop())
+            self.closed[name] = found
+        return at in self.closed[name]
+
+
 def _left_out(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     """Whether an element is not the article, and whether it holds reader comments."""
     found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
@@ -83,7 +105,7 @@ def _left_out(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
 
 
 def lines(html: str | None) -> list[tuple[str, int]]:
-    """The page's lines outside left out parts: text, and 2 inside an article element, 1 inside main, else 0."""
+    """The page's lines: text, and 2 inside an article element, 1 inside main, -1 inside a part declared not to be the article, else 0."""
     out: list[tuple[str, int]] = []
     held: list[str] = []
     part: Part | None = None
@@ -93,11 +115,12 @@ def lines(html: str | None) -> list[tuple[str, int]]:
         text = " ".join(entities.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append((text, 2 if articles else 1 if mains else 0))
+            out.append((text, -1 if part else 2 if articles else 1 if mains else 0))
 
     at, html = 0, html or ""
+    closings = Closings(html)
     while m := TOKEN.search(html, at):
-        if part is None and m.start() > at:
+        if m.start() > at:
             held.append(html[at : m.start()])
         at = m.end()
         name = (m[2] or m[5] or "").lower()
@@ -115,11 +138,17 @@ def lines(html: str | None) -> list[tuple[str, int]]:
             if name == part.name:
                 part.depth += -1 if ending else 0 if name in VOID else 1
                 if not part.depth:
+                    close()
                     part = None
-                continue
-            opens = not ending and name in ("article", "main") and not part.talk and not _left_out(name, attributes, False)[0]
+                    continue
+            opens = not ending and name in ("article", "main") and part.depth > 0 and not part.talk and not part_closed and not _left_out(name, attributes, False)[0]
             if not opens:
+                if name in BLOCK:
+                    close()
+                elif name in SPACED:
+                    held.append(" ")
                 continue
+            close()
             part = None  # an element that was never closed does not swallow the article
         if name in BLOCK:
             close()
@@ -135,24 +164,17 @@ def lines(html: str | None) -> list[tuple[str, int]]:
             chrome, talk = _left_out(name, attributes, bool(articles or mains))
             if chrome:
                 close()
-                part = Part(name, talk)
+                part, part_closed = Part(name, talk), closings.has(name, at)
                 continue
         if name == "article":
             articles += 1
         elif name == "main":
             mains += 1
-    if part is None:
-        held.append(html[at:])
+    held.append(html[at:])
     close()
     return out
 
 
-def chosen(found: list[tuple[str, int]]) -> list[tuple[str, bool]]:
-    """The lines of the innermost kind of element that the page has, and whether that is a declared article."""
-    zone = max((z for _, z in found), default=0)
-    return [(t, zone == 2) for t, z in found if z == zone]
-
-
 def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Places of a longest common subsequence: bit-parallel rows, then a walk back. Lines of one side alone are left out first."""
     both = set(a) & set(b)
@@ -166,16 +188,41 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     x, y = x[start:], y[start:]
     while x and y and x[-1][1] == y[-1][1]:
         tail.append((x.pop()[0], y.pop()[0]))
+    return found + _middle(x, y) + tail[::-1]
+
+
+def _rows(x: list[int], y: list[int]) -> Iterator[int]:
+    """For each prefix of ``x``, the lengths of its longest common subsequences with all prefixes of ``y``: a bit of zero where they step up."""
     where: dict[int, int] = {}
-    for j, (_, v) in enumerate(y):
+    for j, v in enumerate(y):
         where[v] = where.get(v, 0) | 1 << j
     full = (1 << len(y)) - 1
-    rows = [full]
-    for _, v in x:
-        s = rows[-1]
+    s = full
+    yield s
+    for v in x:
         u = s & where.get(v, 0)
-        rows.append(((s + u) | (s - u)) & full)
-    i, j, middle = len(x), len(y), []
+        s = ((s + u) | (s - u)) & full
+        yield s
+
+
+def _lengths(x: list[int], y: list[int]) -> np.ndarray:
+    for s in _rows(x, y):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(s.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.r_[0, np.cumsum(bits == 0)]
+
+
+def _middle(x: list[tuple[int, int]], y: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Places and values of two sequences aligned; halves of the first are aligned apart where all rows would take over ``MOST_BITS``."""
+    if not x or not y:
+        return []
+    a, b = [v for _, v in x], [v for _, v in y]
+    if len(x) * len(y) > MOST_BITS and len(x) > 1:
+        half = len(x) // 2
+        cut = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+        return _middle(x[:half], y[:cut]) + _middle(x[half:], y[cut:])
+    rows = list(_rows(a, b))
+    i, j, out = len(x), len(y), []
     while i and j:
         if rows[i] >> (j - 1) & 1:
             j -= 1
@@ -183,8 +230,8 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             i -= 1
         else:
             i, j = i - 1, j - 1
-            middle.append((x[i][0], y[j][0]))
-    return found + middle[::-1] + tail[::-1]
+            out.append((x[i][0], y[j][0]))
+    return out[::-1]
 
 
 def place(url: str | None) -> tuple[str, str]:
@@ -193,53 +240,62 @@ def place(url: str | None) -> tuple[str, str]:
     return (m[1] or "").lower(), m[2] + m[3]
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: host, path, its lines' hashes and which of them are prose."""
+def parsed(html: str | None) -> tuple[list[str], list[int], bool]:
+    """All lines of a page; for each 0 outside the kind of element that its text is taken from, 2 for prose inside it, else 1; and whether that
+    element is a declared article."""
+    found = lines(html)
+    zone = max((z for _, z in found), default=0)
+    return [t for t, _ in found], [0 if z != zone or z < 0 else 1 + (t.count(" ") + 1 >= PROSE) for t, z in found], zone == 2
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per page: host, path, all its lines' hashes and flags, and the lines that its text is taken from."""
     for b in batches:
         rows = []
         for url, html in zip(b.column("url").to_pylist(), b.column("html"), strict=True):
-            found = chosen(lines(html.as_py()))
-            hashes = np.array([xxhash.xxh64_intdigest(t) for t, _ in found], "<u8")
-            rows.append((*place(url), hashes.tobytes(), bytes(t.count(" ") + 1 >= PROSE for t, _ in found)))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-        kinds = (pa.string(), pa.string(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column("key"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["key", "host", "path", "lines", "prose"])
+            found, flags, declared = parsed(html.as_py())
+            hashes = np.array([xxhash.xxh64_intdigest(t) for t in found], "<u8")
+            rows.append((*place(url), hashes.tobytes(), bytes(flags), [t for t, f in zip(found, flags, strict=True) if f], declared))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+        kinds = (pa.string(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.bool_())
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("page_id", "url", "key")], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["page_id", "url", "key", "host", "path", "lines", "flags", "texts", "declared"])
 
 
 def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per side of a pair: the page's key and the places of its shared lines; none from copies."""
+    """Per side of a pair: the page's key and the places of its shared lines, of those that its text is taken from; of copies none."""
     for b in batches:
         keys, shared = [], []
-        for key_a, key_b, a, b_, prose_a, prose_b in zip(*[b.column(c).to_pylist() for c in ("key_a", "key_b", "lines_a", "lines_b", "prose_a", "prose_b")], strict=True):
+        for key_a, key_b, a, b_, flags_a, flags_b in zip(*[b.column(c).to_pylist() for c in ("key_a", "key_b", "lines_a", "lines_b", "flags_a", "flags_b")], strict=True):
             found = aligned(np.frombuffer(a, "<u8").tolist(), np.frombuffer(b_, "<u8").tolist())
-            least = min(sum(prose_a), sum(prose_b))
-            if least and sum(prose_a[i] for i, _ in found) >= COPY * least:
+            least = min(flags_a.count(2), flags_b.count(2))
+            if least and sum(flags_a[i] == flags_b[j] == 2 for i, j in found) >= COPY * least:
                 found = []
-            for key, side in ((key_a, 0), (key_b, 1)):
+            for key, side, flags in ((key_a, 0, flags_a), (key_b, 1, flags_b)):
                 keys.append(key)
-                shared.append(np.array([p[side] for p in found], "<u4").tobytes())
+                shared.append(np.array([p[side] for p in found if flags[p[side]]], "<u4").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shared, pa.binary())], names=["key", "shared"])
 
 
-def main_text(html: str | None, shared: list[bytes]) -> str:
-    """The page's text without the lines that its neighbours share. shared: places of them, one entry a neighbour."""
-    found = chosen(lines(html))
+def left(texts: list[str], flags: bytes, declared: bool, shared: list[bytes]) -> str:
+    """The text of a page's flagged lines without those that its neighbours share. shared: places of them, one entry a neighbour."""
     places = [set(np.frombuffer(s, "<u4").tolist()) for s in shared]
     kept = []
-    for i, (text, declared) in enumerate(found):
+    for i, text in zip([i for i, f in enumerate(flags) if f], texts, strict=True):
         votes = sum(i in p for p in places)
-        if declared:
-            gone = votes == 2 and 1 < text.count(" ") + 1 < PROSE
-        else:
-            gone = votes > 0
-        if not gone:
+        if not (votes == 2 and 1 < text.count(" ") + 1 < PROSE if declared else votes > 0):
             kept.append(text)
     return "\n".join(kept)
 
 
+def main_text(html: str | None, shared: list[bytes]) -> str:
+    """The page's text without the lines that its neighbours share."""
+    found, flags, declared = parsed(html)
+    return left([t for t, f in zip(found, flags, strict=True) if f], bytes(flags), declared, shared)
+
+
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = [main_text(h.as_py(), s.as_py() or []) for h, s in zip(b.column("html"), b.column("shared"), strict=True)]
+        texts = [left(t, f, d, s or []) for t, f, d, s in zip(*[b.column(c).to_pylist() for c in ("texts", "flags", "declared", "shared")], strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -268,12 +324,13 @@ def neighbours(signed: DataFrame) -> DataFrame:
 
 def score(pages: DataFrame) -> DataFrame:
     """Contract rows: page_id, url, text, n_chars."""
+    kind = pages.schema["page_id"].dataType.simpleString()
     keyed = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("key"))
-    signed = common.materialise(keyed.mapInArrow(_signed, "key long, host string, path string, lines binary, prose binary").dropDuplicates(["key"]), "page-lines")
-    side = lambda s: signed.select(F.col("key").alias(f"key_{s}"), F.col("lines").alias(f"lines_{s}"), F.col("prose").alias(f"prose_{s}"))
+    own = common.materialise(keyed.mapInArrow(_parsed, f"page_id {kind}, url string, key long, host string, path string, lines binary, flags binary, texts array<string>, declared boolean"), "page-texts")
+    signed = common.materialise(own.select("key", "host", "path", "lines", "flags").dropDuplicates(["key"]), "page-lines")
+    side = lambda s: signed.select(F.col("key").alias(f"key_{s}"), F.col("lines").alias(f"lines_{s}"), F.col("flags").alias(f"flags_{s}"))
     pairs = neighbours(signed).join(side("a"), "key_a").join(side("b"), "key_b")
     marks = pairs.mapInArrow(_differenced, "key long, shared binary").groupBy("key").agg(F.collect_list("shared").alias("shared"))  # two a page
     marks = common.materialise(marks.filter(F.exists("shared", lambda s: F.length(s) > 0)), "shared-lines").withColumnRenamed("key", "mark")
-    both = keyed.join(marks, F.col("key") == F.col("mark"), "left").select("page_id", "url", "html", "shared")
-    kind = pages.schema["page_id"].dataType.simpleString()
+    both = own.join(marks, F.col("key") == F.col("mark"), "left").select("page_id", "url", "texts", "flags", "declared", "shared")
     return both.mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars long")

@@ -50,8 +50,40 @@ def test_shared_lines_go_and_articles_stay(spark):
     assert out[11].startswith("Site name")
 
 
+def test_declared_parts_keep_their_articles():
+    assert html_extract.main_text("<main><p>article</p></main><aside><article>Teaser one</article></aside>", []) == "article"
+    assert html_extract.main_text('<article><p>Text</p></article><div class="sidebar"><article>Promo teaser</article></div>', []) == "Text"
+    assert html_extract.main_text('<div class="sidebar"><p>menu<article><p>Text</p></article>', []) == "Text"
+    assert html_extract.main_text('<nav><a>x</a></nav><div class="ad">buy</div><p>Body</p>', []) == "Body"
+
+
+def test_differencing_deletes_what_neighbours_share(spark):
+    """Pages without any declared part: lines of the longest common subsequence with either neighbour go, by a plain version too."""
+    rng = random.Random(5)
+    site = [f"Site line {k}" for k in range(6)]
+    pages = []
+    for k in range(30):
+        own = [f"Own {k} line {j} {rng.random()}" for j in range(rng.randrange(1, 6))]
+        cut = rng.randrange(7)
+        pages.append((k, f"http://h/p/{k:03d}", [*site[:cut], *own, *site[cut:]], own))
+
+    def common_places(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        return best[0][0]
+
+    rows = [(k, u, "".join(f"<div>{x}</div>" for x in ls)) for k, u, ls, _ in pages]
+    out = {r["page_id"]: r["text"].split("\n") for r in html_extract.score(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(common_places(pages[k][2], pages[k + 1][2]) == 6 for k in range(29))
+    assert all(out[k] == own for k, _, _, own in pages)
+
+
+@pytest.mark.parametrize("most", [1 << 26, 4])
 @pytest.mark.parametrize("seed", range(20))
-def test_alignment_is_longest(seed):
+def test_alignment_is_longest(seed, most, monkeypatch):
+    monkeypatch.setattr(html_extract, "MOST_BITS", most)
     rng = random.Random(seed)
     a, b = ([rng.randrange(5) for _ in range(rng.randrange(14))] for _ in range(2))
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,28 +87,36 @@ def did_you_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggestions(spark.sql(f"SELECT * FROM VALUES {NAMES} AS t(name)"), spark.sql(f"SELECT * FROM VALUES {COLUMNS} AS t(name)"))
 
 
-#: Ordered patterns of error classes; the first that matches counts.
-ERRORS = (
-    ("auth", "401|403|unauthori[sz]ed|forbidden|invalid token"),
-    ("timeout", "timed? ?out|deadline"),
-    ("network", "econn|enotfound|network|socket|dns"),
-    ("cluster", "cluster .*(terminated|not running|not found)|no cluster"),
-    ("syntax", "syntaxerror|parse error|indentationerror"),
-    ("import", "modulenotfounderror|importerror|no module named"),
-    ("analysis", "analysisexception|unresolved|cannot resolve|table or view"),
-)
-MESSAGES = "(1, 'HTTP 403 Forbidden'), (2, 'Request timed out'), (3, 'connect ECONNREFUSED 127.0.0.1'), (4, 'Cluster 12 is terminated'), (5, 'SyntaxError: invalid syntax'), (6, 'No module named foo'), (7, 'AnalysisException: cannot resolve x'), (8, 'disk full'), (9, NULL), (10, 'socket timeout')"
+#: M36. Classes of error messages in lower case, in order; the first whose words occur counts.
+ERRORS = {
+    "import_error": ("modulenotfounderror", "importerror", "no module named"),
+    "syntax_error": ("syntaxerror",),
+    "spark_analysis_error": ("analysisexception", "unresolvedattribute", "cannotresolvecolumn"),
+    "auth_error": ("permissiondenied", "unauthorized", "403 forbidden", "access denied"),
+    "timeout": ("timeouterror", "timed out", "timeout"),
+    "oom": ("memoryerror", "out of memory", "oom"),
+    "network_error": ("connectionerror", "connectionrefused", "network"),
+}
+MESSAGES = "(1, 'HTTP 403 Forbidden'), (2, 'Request timed out'), (3, 'ConnectionRefused by 127.0.0.1'), (4, 'Cluster 12 is terminated'), (5, 'SyntaxError: invalid syntax'), (6, 'No module named foo'), (7, 'AnalysisException: cannot resolve x'), (8, 'disk full'), (9, NULL), (10, 'network timeout'), (11, 'java.lang.OutOfMemoryError'), (12, 'ImportError after 403 Forbidden'), (13, 'HTTP 401'), (14, 'Access denied')"
+#: Written out apart from ``ERRORS``, class by class.
+ERROR_CLASS_SQL = f"""SELECT id, CASE
+  WHEN m LIKE '%modulenotfounderror%' OR m LIKE '%importerror%' OR m LIKE '%no module named%' THEN 'import_error'
+  WHEN m LIKE '%syntaxerror%' THEN 'syntax_error'
+  WHEN m LIKE '%analysisexception%' OR m LIKE '%unresolvedattribute%' OR m LIKE '%cannotresolvecolumn%' THEN 'spark_analysis_error'
+  WHEN m LIKE '%permissiondenied%' OR m LIKE '%unauthorized%' OR m LIKE '%403 forbidden%' OR m LIKE '%access denied%' THEN 'auth_error'
+  WHEN m LIKE '%timeouterror%' OR m LIKE '%timed out%' OR m LIKE '%timeout%' THEN 'timeout'
+  WHEN m LIKE '%memoryerror%' OR m LIKE '%out of memory%' OR m LIKE '%oom%' THEN 'oom'
+  WHEN m LIKE '%connectionerror%' OR m LIKE '%connectionrefused%' OR m LIKE '%network%' THEN 'network_error'
+  ELSE 'other' END AS class FROM (SELECT id, lower(COALESCE(message, '')) AS m FROM (VALUES {MESSAGES}) AS t(id, message)) AS x"""
 
 
 def error_class_of(message: Column) -> Column:
     low = F.lower(F.coalesce(message, F.lit("")))
-    out = None
-    for name, pattern in ERRORS:
-        out = F.when(low.rlike(pattern), name) if out is None else out.when(low.rlike(pattern), name)
-    return out.otherwise("unknown")
+    any_of = lambda words: reduce(or_, [low.contains(w) for w in words])
+    return F.coalesce(*[F.when(any_of(words), name) for name, words in ERRORS.items()], F.lit("other"))
 
 
-@query("error_class", f"SELECT id, CASE {' '.join(f"WHEN regexp_matches(lower(COALESCE(message, '')), '{p}') THEN '{n}'" for n, p in ERRORS)} ELSE 'unknown' END AS class FROM (VALUES {MESSAGES}) AS t(id, message)")
+@query("error_class", ERROR_CLASS_SQL)
 def error_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {MESSAGES} AS t(id, message)").select("id", error_class_of(F.col("message")).alias("class"))
 

@@ -85,9 +85,11 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: under ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """A new folder that all executors share: under ``spark.checkpoint.dir``, or a temporary one where that is unset and the master is local (tests)."""
     import tempfile
     import uuid
 
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{found.rstrip('/')}/plumbline/{uuid.uuid4().hex}" if found else f"file://{tempfile.mkdtemp(prefix='plumbline-')}"

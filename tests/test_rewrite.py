@@ -90,3 +90,17 @@ def test_running_state(spark, sf_dir, tmp_path):
     rows.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).foreachBatch(lambda df, i: seen.update({r["user_id"]: r["n"] for r in df.collect()})).start().awaitTermination()
     want = {r["user_id"]: r["count"] for r in spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").count().collect()}
     assert seen == want
+
+
+def test_issues_under_other_ids(spark):
+    from plumbline.operators import code, issues
+
+    lines = code.from_source(spark, {"a.py": 'x = df.orderBy("a")\nspark.sql("DROP TABLE t")\nspark.sql("CREATE TABLE t AS SELECT 1")'})
+    plain, more = ({r["id"] for r in code.analyse(lines, more=m).collect()} for m in (False, True))
+    for other, own in code.ALIASES.items():
+        assert other not in plain and (other in more) == (own in more)
+    assert {"CODE_SORT_001", "CODE_DELTA_DROP_CREATE_001"} & more
+    money = code.from_source(spark, {"b.py": 'StructField("spending", DoubleType())\nStructField("rate", FloatType())\nStructField("name", DoubleType())'})
+    assert sorted(r["line"] for r in code.analyse(money).collect() if r["id"] == "CODE_FLOAT_FINANCIAL_001") == [0, 1]
+    classes = [r["class"] for r in issues.error_class(spark, "").orderBy("id").collect()]
+    assert classes == ["auth_error", "timeout", "network_error", "other", "syntax_error", "import_error", "spark_analysis_error", "other", "other", "timeout", "oom", "import_error", "other", "auth_error"]

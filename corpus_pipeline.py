@@ -2,6 +2,10 @@
 
 Each stage takes ``(spark, docs, sf_dir)``, reads all its predecessor kept and returns a DataFrame, which is written as Parquet and
 read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+
+Edge cases, each as the operator's docstring has it: null texts count as empty and fail the first stage's base rule; rows without an id are
+judged by it too, and stay in the next three stages; rows that repeat an id are judged row by row and removed together as copies or
+leaks; an empty table stays empty; extra columns are carried up to the last stage, which returns its own.
 """
 
 from __future__ import annotations

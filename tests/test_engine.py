@@ -19,7 +19,7 @@ def test_lint_rules(spark):
     found = lint.lint(bundle.facts(spark, {"b.yml": lint.EXAMPLE}))
     rules = sorted({r["rule"] for r in found.collect()})
     assert rules == ["duplicate_task", "host_not_https", "out_of_range", "schedule_and_continuous", "task_without_key", "two_clusters", "undefined_cluster", "unknown_key", "unknown_resource", "value_not_allowed"]
-    clean = "bundle: {name: a}\ntargets: {dev: {mode: development}}\nresources: {jobs: {x: {tasks: [{task_key: a}]}}}"
+    clean = "bundle: {name: a}\ntargets: {dev: {mode: development}}\nresources: {jobs: {x: {name: x, tasks: [{task_key: a}]}}}"
     assert lint.lint(bundle.facts(spark, {"b.yml": clean})).count() == 0
     lines = spark.createDataFrame([("b.yml", i, t) for i, t in enumerate(lint.EXAMPLE.split("\n"))], "file string, line int, text string")
     at = {(r["rule"], r["value"]): r["line"] for r in lint.located(found, lines).collect()}

@@ -70,7 +70,9 @@ def plan_analysis(*frames: DataFrame, limits: detect.Limits | None = None) -> Da
 def plan_text_analysis(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     """Findings in plan texts."""
     rows = [row for name, t in texts.items() for row in text.parse(t, name)]
-    return detect.deduplicated(detect.detect(spark.createDataFrame(rows, walk.NODES)))
+    found = detect.detect(spark.createDataFrame(rows, walk.NODES))
+    plans = spark.createDataFrame(list(texts.items()), "plan_id string, text string")
+    return detect.deduplicated(found.unionByName(detect.statistics_findings(plans)))
 
 
 def job_run_plans(spark: SparkSession, path: str) -> DataFrame:
@@ -88,8 +90,14 @@ def job_run_analysis(spark: SparkSession, path: str, plans: int = 10) -> DataFra
             rows = [row for i, t in zip(pdf["execution_id"], pdf["plan"], strict=True) for row in text.parse(t, f"execution {i}")]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in walk.NODES.split(", ")]).astype({"parent_id": "Int32"})
 
-    nodes = job_run_plans(spark, path).select("execution_id", "plan").mapInPandas(parsed, walk.NODES)
-    return detect.deduplicated(detect.detect(nodes)).orderBy(F.desc("points"))
+    from .sources.tables import shared_folder
+
+    runs_ = job_run_plans(spark, path).select("execution_id", "plan")
+    folder = f"{shared_folder(spark)}/nodes"
+    runs_.mapInPandas(parsed, walk.NODES).write.parquet(folder)  # every detector reads the nodes
+    texts = runs_.select(F.concat(F.lit("execution "), F.col("execution_id").cast("string")).alias("plan_id"), F.col("plan").alias("text"))
+    found = detect.detect(spark.read.parquet(folder)).unionByName(detect.statistics_findings(texts))
+    return detect.deduplicated(found).orderBy(F.desc("points"))
 
 
 def list_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

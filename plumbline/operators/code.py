@@ -205,7 +205,8 @@ def finds(rule: Rule) -> Column:
 
 def table_issues(lines: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Issues of the table's rules: (file, line, column, id, severity, title), one a rule and line."""
-    code = statements(stripped(lines)).select("file", "line", "statement", "code", F.array(*[allows(r) for r in rules]).alias("allowed"))
+    joined = F.regexp_replace("code", r"\\$", " ").alias("code")  # a backslash before a line break is white space
+    code = statements(stripped(lines)).select("file", "line", "statement", joined, F.array(*[allows(r) for r in rules]).alias("allowed"))
     rows = code.groupBy("file", "statement").agg(F.sort_array(F.collect_list(F.struct("line", "code", "allowed"))).alias("rows"))
     whole = rows.select("file", "rows", F.array_join(F.col("rows.code"), "\n").alias("code"))
 

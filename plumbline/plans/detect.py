@@ -128,9 +128,24 @@ def detect(nodes: DataFrame, limits: Limits | None = None) -> DataFrame:
 
 
 def missing_statistics(text: Column) -> Column:
-    """Tables that the optimizer names as having missing or partial statistics."""
-    listed = F.regexp_extract(text, r"(?is)Optimizer Statistics.*?(?:missing|partial)\s*=\s*([\w.,` ]*)", 1)
-    return F.filter(F.split(F.regexp_replace(listed, r"[` ]", ""), ","), lambda t: t != "")
+    """Tables without statistics by the optimizer's section of a plan's text: named in a list, else as rows of a table, else as relations."""
+    section = F.regexp_extract(text, r"(?is)==\s*Optimizer Statistics\s*==(.*?)(?:==\s*\w|\z)", 1)
+    lines = F.split(section, "\n")
+
+    def named(line: str, name: str) -> Column:
+        return F.transform(F.filter(lines, lambda x: x.rlike(line)), lambda x: F.regexp_extract(x, name, 1))
+
+    listed = F.flatten(F.transform(named(r"(?i)missing\s*=", r"(?i)missing\s*=\s*(.*)"), lambda x: F.split(x, ",")))
+    ways = (listed, named(r"(?i)\|\s*missing\s*\|", r"\|\s*([\w.]+)\s*\|"), named(r"(?i)Statistics:\s*Not Available", r"(?i)Relation:\s*([\w.]+)"))
+    found = [F.array_distinct(F.filter(F.transform(way, F.trim), lambda t: t != "")) for way in ways]
+    return F.when(F.size(found[0]) > 0, found[0]).when(F.size(found[1]) > 0, found[1]).otherwise(found[2])
+
+
+def statistics_findings(plans: DataFrame) -> DataFrame:
+    """``MissingTableStatistics`` of ``plans(plan_id, text)``, one a plan with the first table; node -1 stands for the whole plan."""
+    kind, points = POINTS["MissingTableStatistics"]
+    rows = plans.withColumn("tables", missing_statistics(F.coalesce("text", F.lit("")))).filter(F.size("tables") > 0)
+    return rows.select("plan_id", F.lit(-1).alias("node_id"), F.lit(kind).alias("type"), F.lit("MissingTableStatistics").alias("name"), F.lit(points).alias("points"), F.col("tables")[0].alias("table_name"))
 
 
 def deduplicated(found: DataFrame) -> DataFrame:

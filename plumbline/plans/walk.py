@@ -17,6 +17,11 @@ LABELS = {
     "CartesianProduct": "Cartesian Product", "BroadcastExchange": "Broadcast", "Filter": "Filter", "Project": "Select", "Sort": "Sort", "Window": "Window", "Union": "Union",
     "TakeOrderedAndProject": "Top-N", "Limit": "Limit", "Generate": "Explode", "Expand": "Expand", "Deduplicate": "Distinct", "Output": "Output",
 }
+#: Names that another engine's plans have for operators of the same kind.
+ALIASES = {
+    "PhotonBroadcastHashJoin": "BroadcastHashJoin", "PhotonSortMergeJoin": "SortMergeJoin", "PhotonShuffledHashJoin": "ShuffledHashJoin",
+    "PhotonShuffleExchangeSink": "Exchange", "PhotonShuffleExchangeSource": "Exchange",
+}
 #: Operators that only wrap others.
 WRAPPERS = {
     "ColumnarToRow", "RowToColumnar", "InputAdapter", "AQEShuffleRead", "InputIteratorTransformer", "AdaptiveSparkPlan", "QueryStageInput", "ReusedExchange", "WholeStageCodegen",
@@ -27,7 +32,7 @@ WRAPPERS = {
 def short(operator: str) -> str:
     """An operator's name without stage numbers and formats: ``FileScan parquet`` is ``FileScan``."""
     name = re.split(r"[ (\[]", operator.strip())[0]
-    return {"GlobalLimit": "Limit", "LocalLimit": "Limit", "CollectLimit": "Limit", "FileSourceScan": "FileScan"}.get(name, name)
+    return {**ALIASES, "GlobalLimit": "Limit", "LocalLimit": "Limit", "CollectLimit": "Limit", "FileSourceScan": "FileScan"}.get(name, name)
 
 
 def label(operator: str) -> str:

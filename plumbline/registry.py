@@ -43,6 +43,6 @@ def load_all() -> None:
 
     for module in (
         "operators.spend operators.telemetry operators.joins operators.aggregates operators.windows operators.sets operators.issues operators.runs operators.lint "
-        "operators.code functions.scalar functions.types plans.queries streaming.queries"
+        "operators.code operators.code_cases functions.scalar functions.types plans.queries plans.cases streaming.queries"
     ).split():
         importlib.import_module(f"plumbline.{module}")

@@ -4,69 +4,7 @@ import pytest
 
 from plumbline import api, schema
 from plumbline.operators import code
-
-CASES = {
-    "CODE_UDF_001": ("f = udf(lambda x: x)", "f = F.upper('x')"),
-    "CODE_COLLECT_001": ("x = df.collect()", "x = df.take(5)"),
-    "CODE_PANDAS_001": ("p = df.toPandas()", "p = df.limit(5)"),
-    "CODE_SCHEMA_001": ("spark.read.option('inferSchema', 'true').csv('x')", "spark.read.schema(s).csv('x')"),
-    "CODE_FILTER_001": ("df.filter(a > 1).filter(b > 2)", "df.filter(a > 1)"),
-    "CODE_COUNT_001": ("if df.count() > 0:", "n = df.count()"),
-    "CODE_RDD_001": ("df.rdd.map(f)", "df.select('a')"),
-    "CODE_COALESCE_001": ("df.coalesce(1)", "df.coalesce(10)"),
-    "CODE_SHOW_001": ("df.show()", "df.show(5)"),
-    "CODE_PERSIST_001": ("df.cache()", "df.select('cache')"),
-    "CODE_CROSSJOIN_001": ("a.crossJoin(b)", "a.join(b, 'id')"),
-    "CODE_ORDERBY_001": ("df.orderBy('a')", "df.groupBy('a')"),
-    "CODE_REPARTITION_001": ("df.repartition(1)", "df.repartition(10)"),
-    "CODE_PANDAS_UDF_001": ("@pandas_udf('int')", "@dataclass"),
-    "CODE_TOPANDAS_SPARK_001": ("df.pandas_api()", "df.api()"),
-    "CODE_DROP_DUP_001": ("df.dropDuplicates()", "df.dropDuplicates(['a'])"),
-    "CODE_DISPLAY_001": ("display(df)", "my_display(df)"),
-    "CODE_SQL_INJECT_001": ("spark.sql(f'select {x}')", "spark.sql('select 1')"),
-    "CODE_WRITE_MODE_001": ("df.write.delta('t')", "df.write.mode('append').save('t')"),
-    "CODE_NONDETERMINISTIC_UDF_001": ("f = udf(lambda x: random.random())", "f = udf(lambda x: x + 1)"),
-    "CODE_DEPRECATED_APPEND_001": ("x.append(pd.DataFrame())", "x.append(1)"),
-    "CODE_SELECT_STAR_001": ("df.select('*')", "df.select('a')"),
-    "CODE_CHECKPOINT_001": ("df.checkpoint()", "df.point()"),
-    "CODE_AQE_001": ("spark.conf.set('spark.sql.adaptive.enabled', 'false')", "spark.conf.set('spark.sql.adaptive.enabled', 'true')"),
-    "CODE_UNION_001": ("a.union(b)", "a.unionByName(b)"),
-    "CODE_ZORDER_001": ("spark.sql('OPTIMIZE t ZORDER BY (a)')", "spark.sql('OPTIMIZE t')"),
-    "CODE_DYN_ALLOC_STREAM_001": ("spark.conf.set('spark.dynamicAllocation.enabled', 'true')", "spark.conf.set('spark.dynamicAllocation.enabled', 'false')"),
-    "CODE_KAFKA_001": (".option('kafka.enable.auto.commit', 'true')", ".option('kafka.enable.auto.commit', 'false')"),
-    "CODE_DBFS_CHECKPOINT_001": (".option('checkpointLocation', '/dbfs/x')", ".option('checkpointLocation', '/vol/x')"),
-    "CODE_STREAM_DEDUP_001": ("s = spark.readStream.load()\ns.dropDuplicates(['a'])", "s = spark.read.load()\ns.dropDuplicates(['a'])"),
-    "CODE_WINDOW_001": ("w = Window.orderBy('a')", "w = (Window.partitionBy('b')\n  .orderBy('a'))"),
-    "CODE_DYN_PART_001": ("df.write.partitionBy('d')\n  .mode('overwrite')\n  .save('t')", "df.write\n  .mode('overwrite')\n  .save('t')"),
-    "CODE_ANALYZE_001": ("spark.sql('INSERT OVERWRITE t SELECT 1')", "spark.sql('INSERT OVERWRITE t SELECT 1')\nspark.sql('ANALYZE TABLE t COMPUTE STATISTICS')"),
-    "CODE_MERGE_DV_001": ("spark.sql('MERGE INTO t')", "spark.sql('MERGE INTO t')\nx = 'delta.enableDeletionVectors'"),
-    "CODE_MERGE_RLC_001": ("spark.sql('MERGE INTO t')", "spark.sql('MERGE INTO t')\nx = 'delta.enableRowLevelConcurrency'"),
-    "CODE_AUTOLOADER_RATE_001": ("x.format('cloudFiles')", "x.format('cloudFiles')\n.option('cloudFiles.maxBytesPerTrigger', '1g')"),
-    "CODE_ROCKSDB_001": ("s = spark.readStream.load()\ns.groupBy('a')", "s = spark.readStream.load()\ns.groupBy('a')\nc = 'RocksDBStateStoreProvider'"),
-    "CODE_STREAM_TRIGGER_001": ("q = df.writeStream\nq.start()", "q = df.writeStream\nq.trigger(once=True).start()"),
-    "CODE_STREAM_WATERMARK_001": ("s = spark.readStream.load()\ns.groupBy('a')", "s = spark.readStream.load()\ns.withWatermark('t', '1 h')\ns.groupBy('a')"),
-    "CODE_DROP_CREATE_001": ("spark.sql('DROP TABLE t')\nspark.sql('CREATE TABLE t')", "spark.sql('DROP TABLE t')"),
-    "CODE_STREAM_QUERYNAME_001": ("q = df.writeStream\nq.start()", "q = df.writeStream.queryName('x')\nq.start()"),
-    "CODE_FLOAT_FINANCIAL_001": ("StructField('price', DoubleType())", "StructField('unit_price', DoubleType())"),
-    "CODE_MERGE_OPTIMIZE_001": ("spark.sql('MERGE INTO t')\nspark.sql('OPTIMIZE t')", "spark.sql('MERGE INTO t')"),
-    "CODE_STREAM_JOIN_001": ("s = spark.readStream.load()\ns.join(d, 'id')", "s = spark.readStream.load()\ns.join(d, 'id', 'left')"),
-    "CODE_DLT_PARTITION_001": ("@dlt.table(partition_cols=['a'])", "@other.table(partition_cols=['a'])"),
-    "CODE_DLT_SELECT_STAR_001": ("@dlt.table\nspark.sql('SELECT * FROM t')", "spark.sql('SELECT * FROM t')"),
-    "CODE_DLT_SCHEMA_HINTS_001": ("@dlt.table\nread_files('x')", "@dlt.table\nread_files('x',\n schemaHints => 'a int')"),
-    "CODE_DLT_CLUSTER_AUTO_001": ("@dlt.table\nx = 'CLUSTER BY AUTO'", "x = 'CLUSTER BY AUTO'"),
-    "CODE_ITER_COLLECT_001": ("for r in df.collect():", "for r in rows:"),
-    "CODE_REPARTITION_WRITE_001": ("df.repartition(8)\n  .write.save('t')", "df.repartition(8)\n  .count()"),
-    "CODE_FOREACH_001": ("df.foreach(f)", "df.for_each(f)"),
-    "CODE_JOIN_001": ("a.join(b)", "a.join(b, 'id')"),
-    "CODE_PARTITION_OVERWRITE_001": ("x.set('partitionOverwriteMode', 'static')", "x.set('partitionOverwriteMode', 'dynamic')"),
-    "CODE_SHUFFLE_PARTITIONS_001": ("spark.conf.set('spark.sql.shuffle.partitions', 200)", "spark.conf.get('spark.sql.shuffle.partitions')"),
-    "CODE_READ_FILES_SCHEMA_001": ("read_files('x')", "read_files('x', schema => 'a int')"),
-    "CODE_WITHCOL_CHAIN_001": ("df = df.withColumn('a', x)\n\ndf = df.withColumn('b', x)\ndf = df.withColumn('c', x)", "df = df.withColumn('a', x)\ny = 1\ndf = df.withColumn('b', x)"),
-    "CODE_WITHCOL_LOOP_001": ("for c in cols:\n    df = df.withColumn(c, x)", "for c in cols:\n    y = c\ndf = df.withColumn('a', x)"),
-    "CODE_REPEATED_ACTIONS_001": ("sales.count()\nsales.show()", "sales.cache()\nsales.count()\nsales.show()"),
-    "CODE_UDF_FILTER_001": ("f = udf(g)\ndf.filter(f('a'))", "f = udf(g)\ndf.select(f('a'))"),
-    "CODE_DLT_CDC_ORDER_001": ("APPLY CHANGES INTO t\nSEQUENCE BY ts\nAPPLY AS DELETE WHEN x", "APPLY CHANGES INTO t\nAPPLY AS DELETE WHEN x\nSEQUENCE BY ts"),
-}
+from plumbline.operators.code_cases import CASES
 
 
 @pytest.fixture(scope="module")

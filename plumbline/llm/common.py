@@ -108,6 +108,16 @@ def single_thread() -> None:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system, where its allocator can; it otherwise keeps what its largest batch took."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def segment_of(hashes: np.ndarray, n: int) -> np.ndarray:
     """Which of ``n`` segments unsigned 64-bit hashes belong to; their low 32 bits stay free to tell them apart inside it."""
     return ((hashes >> np.uint64(40)) % np.uint64(n)).astype(np.int64)

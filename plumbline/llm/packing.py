@@ -33,7 +33,7 @@ STEP, DECAY, LEAST_DECAY, NEAR, WASTE = 0.25, 0.5, 1e-3, 0.1, 1 / 1024
 #: Words kept with their ids by each Python worker, the longest kept, and pieces that share a ranking bucket.
 KEPT_WORDS, KEPT_BYTES, PER_BUCKET = 1_500_000, 40, 1_000_000
 #: Bytes of text tokenized together, and the character that parts new words.
-TOGETHER, MARK = 6 << 20, "`"
+TOGETHER, MARK = 4 << 20, "`"
 SPACED_MARK = f" {MARK} ".encode()
 
 
@@ -145,6 +145,7 @@ def _pieces(path: str, size: int):
             for k, texts in common.slices(b.column("text"), TOGETHER):
                 for row, ids in enumerate(encoder.many(texts), k):
                     rows += [(row, i, a, min(size, len(ids) - a), zlib.crc32(ids[a : a + size].data)) for i, a in enumerate(range(0, len(ids), size))]
+                common.give_back()
             row, i, a, n, crc = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(pa.array(row, pa.int64())), pa.array(i, pa.int32()), *[pa.array(x, pa.int64()) for x in (a, n, crc)]],

@@ -130,7 +130,6 @@ def _counted(n: int):
                 if size > FLUSH:
                     yield flushed(words, pairs)
                     words, pairs, size = [], [], 0
-                    common.give_back()
         if size:
             yield flushed(words, pairs)
 
@@ -283,7 +282,6 @@ def _scored(n: int, shared):
             if size > FLUSH:
                 yield asked()
                 wanted, size = [], 0
-            common.give_back()
         if size:
             yield asked()
 

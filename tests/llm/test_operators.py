@@ -503,6 +503,26 @@ def test_sorted_suffixes():
     assert keys == sorted(keys)
 
 
+def test_anchors_that_agree_by_chance_are_not_sorted(monkeypatch):
+    """Runs that share their anchor but no window: only windows with more in common are sorted, and the smallest documents are right."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    anchor, before, after = "the and of to in", letters(34), letters(34)
+    texts = [letters(34) + anchor + letters(34) for _ in range(300)]
+    texts += [letters(34 - k) + before[34 - k :] + anchor + after[:n] + letters(34 - n) for k in range(0, 35, 2) for n in (34 - k, 33 - k, 34) if n >= 0]
+    ids = rng.sample(range(1000), len(texts))
+    first, sorted_ = {}, []
+    for d, t in zip(ids, texts, strict=True):
+        for k in range(35):
+            first[t[k : k + 50], 34 - k] = min(first.get((t[k : k + 50], 34 - k), d), d)
+    sort = substring_dedup.Suffixes.sort
+    monkeypatch.setattr(substring_dedup.Suffixes, "sort", lambda self, start, group: sorted_.append(len(start)) or sort(self, start, group))
+    payload, n = [t.encode() for t in texts], len(texts)
+    got = substring_dedup.window_least(payload, np.full(n, 35), np.full(n, 34), np.full(n, 5, np.uint64), np.array(ids))
+    assert got.tolist() == [first[t[k : k + 50], 34 - k] for t in texts for k in range(35)]
+    assert 0 < sum(sorted_) <= 35 * (n - 300)
+
+
 # --- 9 ---
 
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +61,78 @@ def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialised = path
+    return out
+
+
+#: Paths of the tables that the innermost :func:`passing` has to remove.
+_MADE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables materialised inside are removed at its end, but for those handed to the function it gives; an outer one removes these.
+
+    Nothing lazy may leave it that reads a removed table.
+    """
+    own, kept = [], []
+    token = _MADE.set(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._materialised)
+        return df
+
+    def every() -> list[str]:
+        kept.extend(own)
+        return list(own)
+
+    keep.all = every
+    try:
+        yield keep
+    finally:
+        _MADE.reset(token)
+        remove(spark, [p for p in own if p not in kept])
+        if (outer := _MADE.get()) is not None:
+            outer += kept
+
+
+def drop(df: DataFrame) -> None:
+    """Remove the table that ``df`` is, if :func:`materialise` gave it."""
+    if (path := getattr(df, "_materialised", None)) is not None:
+        remove(df.sparkSession, [path])
+
+
+def is_own(spark: SparkSession, path: str) -> bool:
+    """Whether a path lies in this application's folder, however the store writes its name."""
+    return f"/plumbline/{spark.sparkContext.applicationId}" in path
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Collect the driver's garbage: Spark removes the shuffle files of finished queries then, and else only when the driver's heap fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def read_from(df: DataFrame) -> list[str] | None:
+    """Paths that ``df`` reads, also where it is cached; None if it reads anything but files."""
+    leaves, out = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if leaf.getClass().getSimpleName() != "LogicalRelation" or leaf.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            return None
+        roots = leaf.relation().location().rootPaths()
+        out += [roots.apply(i).toString() for i in range(roots.size())]
+    return out
 
 
 def _own_dir(spark: SparkSession) -> str:
@@ -67,9 +141,7 @@ def _own_dir(spark: SparkSession) -> str:
 
 def forget(spark: SparkSession) -> None:
     """Remove all tables that this application has materialised, in whatever store they lie."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, [_own_dir(spark)])
 
 
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

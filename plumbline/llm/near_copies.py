@@ -5,12 +5,13 @@ fingerprints (39 bits expected at 0.8 with a deviation of 5.7, over 99 % of such
 with many more pivots. Fingerprints only propose: what links two texts is the similarity of their sets of shingles, ``LEAST`` or more.
 
 * ``TABLES`` tables of ``GROUPS`` groups of ``REFERENCES`` reference fingerprints. A text's cell in a table is the nearest (or farthest)
-  reference of each group, by the votes behind its fingerprint; texts that are close share it in some table. Both numbers grow with the
-  rows (:func:`width`), so that cells stay small and a pair at 0.8 keeps its chance to meet.
+  reference of each group, by the votes behind its fingerprint; texts that are close share it in some table. Beyond ``FEW`` rows both numbers
+  grow (:func:`width`), so that a pair at 0.8 keeps its chance to meet. Below, unrelated texts come to share cells by chance; their pairs
+  are cheap to compare where they stand, so what counts as a crowd grows with the rows (:func:`dense`).
 * Inside a cell, pairs whose distances to ``PIVOTS`` further references differ by more than the radius are discarded, and survivors go on by
   exact popcounts. An odd sketch (512 parities of hashed shingles) then bounds and estimates how many shingles only one of the two holds.
   The survivors' shingles are made again and compared.
-* Texts of one set of shingles are one row from the start. Rows of a cell of more than ``DENSE`` rows are a crowd. A text of a crowd of whose
+* Texts of one set of shingles are one row from the start. Rows of a cell of more rows than :func:`dense` says are a crowd. A text of a crowd of whose
   shingles over a fifth stand in no other text of any crowd has no near copy there, whatever the others hold, and leaves it (exact: a pair's
   similarity is at most its shared shingles over either's). The others meet their cell's ``HUBS`` (those nearest to its majority fingerprint, as
   an original is among its copies). Of the groups this gives, the largest in a cell needs no more pairs inside it; each other row of
@@ -39,9 +40,12 @@ from .lm_scoring import mixed
 SHINGLE, RADIUS = 5, 55
 LEAST = (4, 5)  # the similarity, as a fraction
 TABLES, GROUPS, REFERENCES, PIVOTS = 64, 3, 64, 16
-#: Rows up to which ``GROUPS`` groups part texts well enough, and the chance that a pair at the least similarity shares the place in one group.
-FEW, MEET = 1 << 22, 0.4427
-DENSE, HUBS, TOGETHER = 4, 2, 512
+#: Rows up to which ``GROUPS`` groups part texts well enough (eight to a cell), and the chance that a pair at the least similarity shares the
+#: place in one group.
+FEW, MEET = 1 << 24, 0.4427
+#: Rows that a cell has at most without being a crowd, where rows are few; the share of rows that may find themselves in a crowd by chance, a table.
+DENSE, CHANCE = 4, 2e-5
+HUBS, TOGETHER = 2, 512
 BLOCK = 512
 #: Of the first 128 bits, so many differ in a cell's pair that goes on: 19.4 are expected at the least similarity (deviation 4.1), 64 of unrelated texts.
 FIRST = 32
@@ -95,6 +99,23 @@ def width(rows: int) -> tuple[int, int]:
     return (TABLES if groups == GROUPS else math.ceil(math.log(missed) / math.log1p(-(MEET**groups)))), groups
 
 
+def dense(rows: int) -> int:
+    """Rows that a cell may have before it is a crowd: so many that unrelated texts, dealt to cells by chance, hardly ever make one.
+
+    The texts of a crowd are shingled and joined shingle by shingle, which is a multiple of their bytes; pairs of a few rows are not.
+    Where chance fills cells beyond ``DENSE`` the number is doubled, as cells are not equally likely: of 1.9 million texts 786,000 were in
+    a cell of more than eight rows, though equal chances would have left nearly none.
+    """
+    mean = rows / (2 * REFERENCES) ** width(rows)[1]
+    most, term = 0, math.exp(-mean)
+    beyond = 1 - term  # the chance that of the others more than ``most`` share a row's cell
+    while most + 1 < DENSE or beyond > CHANCE:
+        most += 1
+        term *= mean / most
+        beyond -= term
+    return most + 1 if most + 1 == DENSE else 2 * (most + 1)
+
+
 def _printed(tables: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         references = _signs("reference", 64 * WORDS, tables * groups * REFERENCES)
@@ -196,12 +217,14 @@ def _shingled(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` of ids whose texts have the similarity ``LEAST`` or more, by their whole sets of shingles."""
-    pairs = common.materialise(pairs.distinct(), "near-pairs")
-    sets = _shingled(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()).select("own", "shingles")
-    found = pairs.join(sets.alias("p"), F.col("a") == F.col("p.own")).join(sets.alias("q"), F.col("b") == F.col("q.own"))
-    sizes = F.size("p.shingles") + F.size("q.shingles")
-    shared = F.size(F.array_intersect("p.shingles", "q.shingles"))
-    return common.materialise(found.filter((LEAST[0] + LEAST[1]) * shared >= LEAST[0] * sizes).select("a", "b").distinct(), "near-links")
+    with common.passing(docs.sparkSession) as keep:
+        pairs = common.materialise(pairs.distinct(), "near-pairs")
+        common.sweep(docs.sparkSession)
+        sets = _shingled(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()).select("own", "shingles")
+        found = pairs.join(sets.alias("p"), F.col("a") == F.col("p.own")).join(sets.alias("q"), F.col("b") == F.col("q.own"))
+        sizes = F.size("p.shingles") + F.size("q.shingles")
+        shared = F.size(F.array_intersect("p.shingles", "q.shingles"))
+        return keep(common.materialise(found.filter((LEAST[0] + LEAST[1]) * shared >= LEAST[0] * sizes).select("a", "b").distinct(), "near-links"))
 
 
 def _celled(texts: DataFrame, *more: str) -> DataFrame:
@@ -209,19 +232,23 @@ def _celled(texts: DataFrame, *more: str) -> DataFrame:
 
 
 def crowds(texts: DataFrame) -> DataFrame:
-    """``cell``s of more than ``DENSE`` rows."""
+    """``cell``s of more rows than :func:`dense` says."""
     counts = texts.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
-    return common.materialise(counts.filter(F.col("n") > DENSE).select("cell"), "near-crowds")
+    return common.materialise(counts.filter(F.col("n") > dense(texts.count())).select("cell"), "near-crowds")
 
 
 def crowd_of(texts: DataFrame, crowded: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows of crowded cells that may have a near copy there, with ``shared``: how many of their shingles stand in another text of a crowd."""
-    inside = common.materialise(_celled(texts, "sig", *OS).join(common.maybe_broadcast(crowded), "cell", "left_semi"), "near-crowd")
-    sets = _shingled(docs, inside.select(F.col("own").alias("doc_id")).distinct())
-    texts_of = sets.select("sig", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("sig").alias("sig"), F.max("sig").alias("other"))
-    alone = common.materialise(texts_of.filter("sig = other").groupBy("sig").agg(F.count("*").alias("alone")), "near-alone")
-    both = inside.join(alone, "sig", "left").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0)))
-    return common.materialise(both.filter(LEAST[1] * F.col("shared") >= LEAST[0] * F.col("size")).drop("alone", "sig"), "near-able")
+    with common.passing(docs.sparkSession) as keep:
+        inside = common.materialise(_celled(texts, "sig", *OS).join(common.maybe_broadcast(crowded), "cell", "left_semi"), "near-crowd")
+        sets = _shingled(docs, inside.select(F.col("own").alias("doc_id")).distinct())
+        texts_of = sets.select("sig", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("sig").alias("sig"), F.max("sig").alias("other"))
+        alone = common.materialise(texts_of.filter("sig = other").groupBy("sig").agg(F.count("*").alias("alone")), "near-alone")
+        both = inside.join(alone, "sig", "left").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0)))
+        able = keep(common.materialise(both.filter(LEAST[1] * F.col("shared") >= LEAST[0] * F.col("size")).drop("alone", "sig"), "near-able"))
+        del inside, sets, texts_of, alone, both
+        common.sweep(docs.sparkSession)
+        return able
 
 
 def _within(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -281,17 +308,22 @@ def removed(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = ", ".join([f"doc_id {kind}", "sig long", "size int", *[f"{f} long" for f in [*FS, *OS]], *[f"{d} int" for d in DS], "cells array<long>"])
     known = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    prints = common.materialise(known.mapInArrow(_printed(*width(known.count())), schema), "near-prints")
-    rest = F.first(F.struct("size", *FS, *OS, *DS, "cells")).alias("rest")  # a function of the set of shingles
-    texts = common.materialise(prints.groupBy("sig").agg(F.min("doc_id").alias("own"), rest).select("sig", "own", "rest.*"), "near-texts")
+    with common.passing(docs.sparkSession) as keep:
+        wide = common.materialise(known.mapInArrow(_printed(*width(known.count())), schema), "near-prints")
+        rest = F.first(F.struct("size", *FS, *OS, *DS, "cells")).alias("rest")  # a function of the set of shingles
+        texts = keep(common.materialise(wide.groupBy("sig").agg(F.min("doc_id").alias("own"), rest).select("sig", "own", "rest.*"), "near-texts"))
+        prints = keep(common.materialise(wide.select("doc_id", "sig"), "near-sigs"))
+    common.sweep(docs.sparkSession)
     found = linked(texts, docs)
-    copies = prints.select("doc_id", "sig").join(texts.select("sig", "own"), "sig").filter("doc_id <> own").select("doc_id")
+    copies = prints.join(texts.select("sig", "own"), "sig").filter("doc_id <> own").select("doc_id")
     later = found.filter("node <> root").select(F.col("node").alias("doc_id"))
     return copies.union(later).distinct()
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that are their group's smallest id, with all their columns."""
-    gone = common.materialise(removed(docs).select(F.col("doc_id").alias("__gone")), "near-gone")
+    with common.passing(docs.sparkSession) as keep:
+        gone = keep(common.materialise(removed(docs).select(F.col("doc_id").alias("__gone")), "near-gone"))
+    common.sweep(docs.sparkSession)
     gone = common.maybe_broadcast(gone)
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -93,3 +93,22 @@ def test_copies_among_texts_that_share_boilerplate(documents, monkeypatch):
     got = {r["doc_id"] for r in near_copies.removed(documents(rows)).collect()}
     must = groups(rows, 0.8)
     assert len(must) == 50 and got == must
+
+
+def test_texts_that_meet_by_chance_are_no_crowd(documents, monkeypatch):
+    """Few places for many texts: unrelated ones share cells, and their shingles are not joined for that; copies still go."""
+    monkeypatch.setattr(near_copies, "REFERENCES", 3)  # 216 cells a table
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"s{rng.randrange(3000)}" for _ in range(60))) for i in range(900)]
+    rows += [(1000 + i, t + " end") for i, t in rows[:40]]
+    shingled, crowd_of = [], near_copies.crowd_of
+
+    def counted(texts, crowded, docs):
+        out = crowd_of(texts, crowded, docs)
+        shingled.append(texts.count() and near_copies._celled(texts).join(crowded, "cell", "left_semi").select("own").distinct().count())
+        return out
+
+    monkeypatch.setattr(near_copies, "crowd_of", counted)
+    got = {r["doc_id"] for r in near_copies.removed(documents(rows)).collect()}
+    assert got == groups(rows, 0.8) == {1000 + i for i in range(40)}
+    assert sum(shingled) <= 0.3 * len(rows)

@@ -45,6 +45,28 @@ def test_materialised_tables_can_be_forgotten(spark):
         kept.count()
 
 
+def test_a_stage_leaves_no_tables_to_the_next(spark, sf_dir, tmp_path):
+    """What a stage wrote for its result goes once the result has been written elsewhere; near copies keep the list of removed ids alone."""
+    from pathlib import Path
+
+    from plumbline.llm import common
+
+    common.forget(spark)
+    corpus_pipeline._open.clear()
+    held = lambda: {p.name.rsplit("-", 1)[0] for p in Path(common._own_dir(spark).removeprefix("file://")).iterdir()}
+    step = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    left = {"quality": "quality", "lines": "line-chunks", "near_copies": "near-gone", "benchmark_leaks": "leaked", "pack": "pieces"}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, step, sf_dir)
+        assert left[name] in held() and not {v for k, v in left.items() if k != name} & held()
+        assert name != "near_copies" or held() == {"near-gone"}
+        out.write.parquet(f"{tmp_path}/{name}")
+        step = spark.read.parquet(f"{tmp_path}/{name}")
+    first = corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    then = corpus_pipeline.STAGES[1][1](spark, first, sf_dir)  # not written in between: its tables stay
+    assert then.count() == spark.read.parquet(f"{tmp_path}/lines").count()
+
+
 def all_leaks(docs, items):
     """Every alignment that shares enough equal tokens, window by window."""
     import re
